@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.hubs import HUB_DEGREE
 from tradeweave.operators.network.projection import Projection, on_slots, spread_edges
-from tradeweave.session import cut_lineage
+from tradeweave.session import write_table
 
 
 class Communities(NamedTuple):
@@ -52,11 +52,12 @@ def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_deg
     loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("loop"))
     spread = spread_edges(edges.where("src <> dst"), "dst", "src", F.col("weight"), hub_degree)
     slots = spread.slots.withColumnRenamed("near", "id")
-    state = cut_lineage(
+    state = write_table(
         edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("strength"))
         .join(loops, "id", "left")
         .join(slots, "id", "left")
-        .select("id", "strength", F.coalesce("loop", F.lit(0)).alias("loop"), "slots", F.col("id").alias("community"))
+        .select("id", "strength", F.coalesce("loop", F.lit(0)).alias("loop"), "slots", F.col("id").alias("community")),
+        "louvain",
     )
     best_state, best_quality, moved, flat = state.select("id", "community"), None, False, 0
     for round_no in range(max_rounds + 1):
@@ -108,7 +109,7 @@ def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_deg
                 .alias("next"),
             )
         )
-        judged = cut_lineage(judged)
+        judged = write_table(judged, "louvain")
         per = judged.groupBy("community").agg(
             F.sum("inside").cast("double").alias("inside"), F.sum("strength").cast("double").alias("tot")
         )
@@ -130,7 +131,7 @@ def louvain(
     graph: Projection,
     weight: str = "amount",
     max_levels: int = 10,
-    max_rounds: int = 20,
+    max_rounds: int = 10,
     tol: float = 1e-4,
     hub_degree: int = HUB_DEGREE,
 ) -> Communities:
@@ -139,8 +140,8 @@ def louvain(
     A community is named by the id of one of its members.  Weights are summed as
     decimals, so the outcome does not depend on the order of rows.
     """
-    edges = cut_lineage(
-        graph.edges.groupBy("src", "dst").agg(F.sum(weight).alias("weight")).where("weight > 0")
+    edges = write_table(
+        graph.edges.groupBy("src", "dst").agg(F.sum(weight).alias("weight")).where("weight > 0"), "louvain"
     )
     total = edges.agg(F.sum("weight").cast("double")).first()[0]
     members = graph.nodes.select(F.col("id").alias("entity_id"), F.col("id").alias("community_id"))
@@ -152,17 +153,19 @@ def louvain(
                 break
             history.append(settled.quality)
             step = settled.state.select(F.col("id").alias("community_id"), F.col("community").alias("merged"))
-            members = cut_lineage(
+            members = write_table(
                 members.join(step, "community_id", "left").select(
                     "entity_id", F.coalesce("merged", "community_id").alias("community_id")
-                )
+                ),
+                "communities",
             )
             ends = settled.state
-            edges = cut_lineage(
+            edges = write_table(
                 edges.join(ends.select(F.col("id").alias("src"), F.col("community").alias("c_src")), "src")
                 .join(ends.select(F.col("id").alias("dst"), F.col("community").alias("c_dst")), "dst")
                 .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
-                .agg(F.sum("weight").alias("weight"))
+                .agg(F.sum("weight").alias("weight")),
+                "louvain",
             )
     count = members.select("community_id").distinct().count()
     return Communities(members, count, history[-1] if history else 0.0, history)

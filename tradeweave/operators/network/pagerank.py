@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.hubs import HUB_DEGREE
 from tradeweave.operators.network.projection import Projection, on_slots, spread_edges
-from tradeweave.session import cut_lineage
+from tradeweave.session import write_table
 
 
 class PageRank(NamedTuple):
@@ -29,9 +29,10 @@ def pagerank(
 ) -> PageRank:
     """rank = (1 - d) + d * sum of the neighbours' ranks by weight share, from 1 - d.
 
-    Ranks are not normalised to sum to one.  Several rounds are planned as one
-    job; its result keeps the rank after every round, so stopping at the first
-    round in which no rank moves by ``tol`` is exact without a job per round.
+    Ranks are not normalised to sum to one.  ``rounds_per_job`` rounds are planned
+    together; a round only needs the ranks before it, so the plan grows linearly.
+    Convergence (no rank moved by ``tol``) is looked at after the last round of
+    each job.
     """
     out = graph.edges.groupBy("src").agg(F.sum(weight).cast("double").alias("total"))
     shares = (
@@ -40,42 +41,36 @@ def pagerank(
     )
     spread = spread_edges(shares, "src", "dst", F.col("share"), hub_degree)
     base = 1.0 - damping
-    state = cut_lineage(
-        graph.nodes.join(spread.slots.withColumnRenamed("near", "id"), "id", "left").select(
-            "id", "slots", F.lit(base).alias("rank")
-        )
+    nodes = write_table(
+        graph.nodes.join(spread.slots.withColumnRenamed("near", "id"), "id", "left").select("id", "slots"), "ranks"
     )
+
+    def advance(ranks: DataFrame) -> DataFrame:
+        sent = on_slots(ranks.where(F.col("slots").isNotNull()).withColumnRenamed("id", "near"))
+        arrived = (
+            spread.edges.join(sent, ["near", "slot"])
+            .groupBy(F.col("far").alias("id"))
+            .agg(F.sum(F.col("rank") * F.col("weight")).alias("arrived"))
+        )
+        rank = base + damping * F.coalesce("arrived", F.lit(0.0))
+        return nodes.join(arrived, "id", "left").select("id", "slots", rank.alias("rank"))
+
+    ranks = nodes.withColumn("rank", F.lit(base))
     done, converged = 0, False
     while done < iterations and not converged:
         rounds = min(rounds_per_job, iterations - done)
-        step = state.withColumnRenamed("rank", "rank_0")
-        for i in range(1, rounds + 1):
-            sent = on_slots(
-                step.where(F.col("slots").isNotNull()).select(
-                    F.col("id").alias("near"), "slots", F.col(f"rank_{i - 1}").alias("rank")
-                )
-            )
-            arrived = (
-                spread.edges.join(sent, ["near", "slot"])
-                .groupBy(F.col("far").alias("id"))
-                .agg(F.sum(F.col("rank") * F.col("weight")).alias("arrived"))
-            )
-            step = step.join(arrived, "id", "left").withColumn(
-                f"rank_{i}", base + damping * F.coalesce("arrived", F.lit(0.0))
-            ).drop("arrived")
-        step = cut_lineage(step)
-        used = rounds
+        for _ in range(rounds - 1):
+            ranks = advance(ranks)
+        if rounds > 1:
+            ranks = write_table(ranks, "ranks")
+        before = ranks.select("id", F.col("rank").alias("before"))
+        last = write_table(advance(ranks).join(before, "id"), "ranks")
+        done += rounds
         if tol is not None:
-            moves = step.agg(
-                *[F.max(F.abs(F.col(f"rank_{i}") - F.col(f"rank_{i - 1}"))).alias(f"m{i}") for i in range(1, rounds + 1)]
-            ).first()
-            for i in range(1, rounds + 1):
-                if moves[f"m{i}"] is None or moves[f"m{i}"] < tol:
-                    used, converged = i, True
-                    break
-        state = step.select("id", "slots", F.col(f"rank_{used}").alias("rank"))
-        done += used
+            move = last.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+            converged = move is None or move < tol
+        ranks = last.drop("before")
     spread.release()
     return PageRank(
-        state.select(F.col("id").alias("entity_id"), F.col("rank").alias("page_rank")), done, converged
+        ranks.select(F.col("id").alias("entity_id"), F.col("rank").alias("page_rank")), done, converged
     )

@@ -17,13 +17,13 @@ def local_session(cores: str = "*", app_name: str = "tradeweave", memory: str =
         .appName(app_name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -48,14 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files that outlive executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a scan of what was written."""
+    """Write df to the shared folder and return a scan of what was written.
+
+    This is how lineage is cut: the files outlive any executor, and their size
+    lets the planner choose joins from facts.
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/tradeweave-{app}/{name}-{uuid.uuid4().hex}"
