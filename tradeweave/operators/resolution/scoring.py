@@ -105,8 +105,9 @@ def score_named_pair(
     prefix_scale: str = "standard",
 ) -> DataFrame:
     """Score one given pair without blocking; no threshold when min_conf is None."""
+    id_type = entities.schema["entity_id"].dataType
     banked = entities.where(F.col("entity_id") == F.lit(banked_id)).select(
-        F.col("entity_id").alias("banked_id"), F.lit(unbanked_id).alias("unbanked_id")
+        F.col("entity_id").alias("banked_id"), F.lit(unbanked_id).cast(id_type).alias("unbanked_id")
     )
     exists = entities.where(F.col("entity_id") == F.lit(unbanked_id)).select(
         F.col("entity_id").alias("unbanked_id")
