@@ -39,3 +39,13 @@ def attach(df: DataFrame, entities: DataFrame, key: str, fields: dict[str, str],
 def with_status(entities: DataFrame, status: str, key: str) -> DataFrame:
     """Ids of the entities that have a status, named ``key`` for a semi join."""
     return entities.where(F.col("status") == status).select(F.col("entity_id").alias(key))
+
+
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows evenly before a step that costs CPU rather than bytes.
+
+    A fixed partition count keeps small but expensive inputs from being merged
+    into a few tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

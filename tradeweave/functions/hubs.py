@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUB_DEGREE = 10_000
+HUB_DEGREE = 1_000
 
 
 class Hubs(NamedTuple):

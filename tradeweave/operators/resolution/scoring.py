@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, rounded
+from tradeweave.functions.columns import attach, deal_out, rounded
 from tradeweave.functions.names import jaro_winkler
 from tradeweave.operators.resolution.blocking import block_candidates
 from tradeweave.operators.resolution.signals import partner_counts, trading_overlap
@@ -50,7 +50,8 @@ def match_confidence(
 def attribute_signals(pairs: DataFrame, entities: DataFrame, prefix_scale: str = "standard") -> DataFrame:
     """Name, industry and region signals with one look-up per side."""
     fields = {"name": "name", "sic_code": "sic", "region": "region"}
-    both = attach(pairs, entities, "unbanked_id", {k: f"_u_{v}" for k, v in fields.items()})
+    dealt = deal_out(pairs, "unbanked_id", "banked_id")
+    both = attach(dealt, entities, "unbanked_id", {k: f"_u_{v}" for k, v in fields.items()})
     both = attach(both, entities, "banked_id", {k: f"_b_{v}" for k, v in fields.items()})
     same = lambda f: F.when(F.col(f"_u_{f}") == F.col(f"_b_{f}"), 1.0).otherwise(0.0)
     return both.select(

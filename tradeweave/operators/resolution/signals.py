@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach
+from tradeweave.functions.columns import attach, deal_out
 from tradeweave.functions.names import jaro_winkler
 from tradeweave.operators.edges import neighbour_pairs
 
 
 def name_similarity(pairs: DataFrame, entities: DataFrame, prefix_scale: str = "standard") -> DataFrame:
     """Adds name_sim: Jaro-Winkler similarity of the lower-case names."""
-    named = attach(pairs, entities, "unbanked_id", {"name": "_u_name"})
+    named = attach(deal_out(pairs, "unbanked_id", "banked_id"), entities, "unbanked_id", {"name": "_u_name"})
     named = attach(named, entities, "banked_id", {"name": "_b_name"})
     score = jaro_winkler(F.lower("_u_name"), F.lower("_b_name"), prefix_scale)
     return named.withColumn("name_sim", score).drop("_u_name", "_b_name")
