@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tradeweave.plans.catalog import QUERIES  # noqa: E402
 from tradeweave.plans.graph import open_graph  # noqa: E402
-from tradeweave.session import local_session  # noqa: E402
+from tradeweave.session import local_session, remove_written  # noqa: E402
 
 LOADS = ("entities", "industries", "products", "transactions", "accounts", "holdings", "trades", "partner_pairs")
 HEADLINE = (
@@ -64,6 +64,7 @@ def main() -> None:
             }
         )
     )
+    remove_written(spark)
     spark.stop()
 
 

@@ -8,10 +8,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tradeweave.session import local_session
+    from tradeweave.session import local_session, remove_written
 
     session = local_session("8", "tests", memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    remove_written(session)
     session.stop()

@@ -59,7 +59,7 @@ def compare(spark, db, folder: str, name: str) -> tuple[str, int, float]:
 
 
 def main() -> None:
-    from tradeweave.session import local_session
+    from tradeweave.session import local_session, remove_written
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(queries())
@@ -75,6 +75,7 @@ def main() -> None:
         bad += verdict not in ("ok", "rows only")
         print(f"{name:34s} {n:8d} {spent:7.2f}s {verdict}", flush=True)
     print("bad:", bad)
+    remove_written(spark)
     spark.stop()
 
 

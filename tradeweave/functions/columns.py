@@ -49,3 +49,17 @@ def deal_out(df: DataFrame, *keys: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys)
+
+
+# Rows that may be sent to every executor once their number has been checked.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark df for broadcast if a count, cut off above max_rows, shows it is small.
+
+    For look-ups that start from one entity: they then read the large table once
+    instead of shuffling it.  An entity too busy for that falls back to a
+    shuffled join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

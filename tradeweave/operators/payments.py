@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, ratio, rounded, with_status
+from tradeweave.functions.columns import attach, broadcast_if_small, largest_first, ratio, rounded, with_status
 from tradeweave.operators.edges import neighbours
 
 
@@ -31,7 +31,7 @@ def _sent_by(transactions: DataFrame, accounts: DataFrame, entity_id) -> DataFra
     owned = accounts.where(F.col("entity_id") == F.lit(entity_id)).select(
         F.col("account_id").alias("sender_account_id")
     )
-    return transactions.join(owned, "sender_account_id", "left_semi")
+    return transactions.join(broadcast_if_small(owned), "sender_account_id", "left_semi")
 
 
 def channel_breakdown(transactions: DataFrame, accounts: DataFrame, entity_id) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave.functions.columns import attach, largest_first
@@ -54,15 +54,32 @@ def deep_dive_rows(
     text: str,
     n: int = 50,
 ) -> DataFrame:
-    """First n combinations of a matched entity's industry, products and partner edges."""
-    found = _matching(entities, text).select("entity_id", "name", "sic_code")
+    """First n combinations of a matched entity's industry, products and partner edges.
+
+    In this order the first n rows come from the first n entities, and from the
+    first n products and edges of each, so only those are ever combined.
+    """
+    found = F.broadcast(
+        _matching(entities, text).select("entity_id", "name", "sic_code").orderBy("entity_id").limit(n)
+    )
+    ids = F.broadcast(found.select("entity_id"))
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))
+        mine = rows.join(ids, "entity_id", "left_semi")
+        return mine.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
     field = industries.select("sic_code", F.col("name").alias("industry"))
-    held = holdings.join(
+    held = first(holdings, "product_id").join(
         products.select("product_id", F.col("name").alias("product")), "product_id"
     ).select("entity_id", "product_id", "product")
-    edges = neighbours(trades).select(
-        F.col("id").alias("entity_id"), F.col("nbr").alias("partner_id"), "outgoing",
-        F.col("amount").cast("double").alias("amount"),
+    edges = first(
+        neighbours(trades).select(
+            F.col("id").alias("entity_id"), F.col("nbr").alias("partner_id"), "outgoing",
+            F.col("amount").cast("double").alias("amount"),
+        ),
+        "partner_id",
+        "outgoing",
     )
     rows = (
         found.join(field, "sic_code", "left")

@@ -28,6 +28,7 @@ from tradeweave.operators.resolution import blocking, scoring, signals
 from tradeweave.operators.resolution import reports as match_reports
 from tradeweave.plans import exports
 from tradeweave.plans.graph import PaymentGraph
+from tradeweave.session import new_folder
 from tradeweave.sources import files
 from tradeweave.streaming.trades import current_trades, stream_trades
 
@@ -160,7 +161,7 @@ def a12_delete_cascade(g):
 
 @query
 def a13_rebuild_matches(g):
-    path = exports.new_folder(g.spark, "rebuilt")
+    path = new_folder(g.spark, "rebuilt")
     maintenance.rebuild_table(g.matches.limit(0), path)
     maintenance.rebuild_table(g.matches, path)
     return g.spark.read.schema(g.matches.schema).parquet(path)
@@ -716,11 +717,11 @@ def s8_sample_edges(g):
 @query
 def st1_stream_trades(g):
     """Payments arrive as the files of the transactions table, a few per batch."""
-    source = exports.new_folder(g.spark, "arriving")
+    source = new_folder(g.spark, "arriving")
     g.transactions.repartitionByRange(6, "date").write.parquet(source)
     arriving = (
         g.spark.readStream.schema(g.transactions.schema).option("maxFilesPerTrigger", 2).parquet(source)
     )
-    totals = exports.new_folder(g.spark, "totals")
-    stream_trades(arriving, g.accounts, totals, exports.new_folder(g.spark, "progress")).awaitTermination()
+    totals = new_folder(g.spark, "totals")
+    stream_trades(arriving, g.accounts, totals, new_folder(g.spark, "progress")).awaitTermination()
     return current_trades(g.spark, totals).withColumns(_double("amount"))

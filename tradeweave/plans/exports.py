@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.session import shared_dir
+from tradeweave.session import new_folder
 
 CHANNELS = ("EFT", "NAV", "SOF", "SWIFT")
 
 
-def new_folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/tradeweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def _write(df: DataFrame, name: str) -> str:
     path = new_folder(df.sparkSession, name)
     df.write.option("header", True).csv(path)

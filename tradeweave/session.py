@@ -54,8 +54,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     This is how lineage is cut: the files outlive any executor, and their size
     lets the planner choose joins from facts.
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/tradeweave-{app}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tradeweave-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path of this application in the shared folder."""
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder, when it is done."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
