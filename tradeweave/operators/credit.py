@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, ratio, rounded, smallest_first, with_status
+from tradeweave.functions.columns import attach, keep_status, largest_first, ratio, rounded, smallest_first
 from tradeweave.operators.edges import neighbours
 
 
@@ -14,15 +14,12 @@ def _inflow_of_banked(trades: DataFrame, entities: DataFrame) -> DataFrame:
 
     Status is checked after the aggregation has reduced busy receivers.
     """
-    return (
-        trades.groupBy("dst")
-        .agg(
-            F.count(F.lit(1)).alias("payers"),
-            F.sum("tx_count").alias("tx_count"),
-            F.sum("amount").alias("inflow"),
-        )
-        .join(with_status(entities, "banked", "dst"), "dst", "left_semi")
+    totals = trades.groupBy("dst").agg(
+        F.count(F.lit(1)).alias("payers"),
+        F.sum("tx_count").alias("tx_count"),
+        F.sum("amount").alias("inflow"),
     )
+    return keep_status(totals, entities, "banked", "dst")
 
 
 def channel_diversity(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -71,17 +68,13 @@ def collateral_grade(
 def concentration(trades: DataFrame, entities: DataFrame, n: int | None = 20) -> DataFrame:
     """Share of inflow that comes from the largest payer; ties go to the smallest id."""
     largest = F.min(F.struct((-F.col("amount")).alias("less"), F.col("src").alias("payer")))
-    shares = (
-        trades.groupBy("dst")
-        .agg(F.sum("amount").alias("inflow"), largest.alias("top"))
-        .join(with_status(entities, "banked", "dst"), "dst", "left_semi")
-        .select(
-            "dst",
-            F.col("top.payer").alias("payer"),
-            (-F.col("top.less")).alias("largest"),
-            "inflow",
-            rounded(ratio(-F.col("top.less") * 100, F.col("inflow")), 1).alias("concentration_pct"),
-        )
+    totals = trades.groupBy("dst").agg(F.sum("amount").alias("inflow"), largest.alias("top"))
+    shares = keep_status(totals, entities, "banked", "dst").select(
+        "dst",
+        F.col("top.payer").alias("payer"),
+        (-F.col("top.less")).alias("largest"),
+        "inflow",
+        rounded(ratio(-F.col("top.less") * 100, F.col("inflow")), 1).alias("concentration_pct"),
     )
     if n is not None:
         shares = shares.orderBy(largest_first("concentration_pct"), "dst").limit(n)
@@ -117,8 +110,9 @@ def stability(
             F.sum("amount").alias("inflow"),
         )
         .where(F.col("payers") >= min_payers)
-        .join(with_status(entities, "banked", "dst"), "dst", "left_semi")
-        .withColumn("order_days", rounded(F.col("std_days"), 6))
+    )
+    spread = keep_status(spread, entities, "banked", "dst").withColumn(
+        "order_days", rounded(F.col("std_days"), 6)
     )
     if n is not None:
         spread = spread.orderBy(smallest_first("order_days"), "dst").limit(n)

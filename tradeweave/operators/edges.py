@@ -130,6 +130,7 @@ def neighbour_pairs(trades: DataFrame) -> DataFrame:
     unordered = trades.select(
         F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")
     ).distinct()
-    return unordered.select(F.col("low").alias("id"), F.col("high").alias("nbr")).unionByName(
-        unordered.select(F.col("high").alias("id"), F.col("low").alias("nbr"))
+    low, high = F.col("low"), F.col("high")
+    return unordered.select(
+        F.inline(F.array(F.struct(low.alias("id"), high.alias("nbr")), F.struct(high.alias("id"), low.alias("nbr"))))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, rounded, with_status
+from tradeweave.functions.columns import attach, keep_status, largest_first, rounded, with_status
 from tradeweave.operators.edges import neighbours
 
 
@@ -20,7 +20,7 @@ def inbound_from_banked(trades: DataFrame, entities: DataFrame) -> DataFrame:
     large share of all edges is reduced on the map side before it is shuffled.
     Edges are unique per ordered pair, so the payer count is the edge count.
     """
-    return (
+    totals = (
         _from_banked(trades, entities)
         .groupBy("dst")
         .agg(
@@ -28,8 +28,8 @@ def inbound_from_banked(trades: DataFrame, entities: DataFrame) -> DataFrame:
             F.sum("tx_count").alias("tx_count"),
             F.sum("amount").alias("inbound"),
         )
-        .join(with_status(entities, "unbanked", "dst"), "dst", "left_semi")
     )
+    return keep_status(totals, entities, "unbanked", "dst")
 
 
 def top_unbanked(trades: DataFrame, entities: DataFrame, n: int = 25) -> DataFrame:

@@ -129,9 +129,10 @@ def hidden_partners(
     )
     revealed = attach(revealed, entities, "nbr", {"name": "partner_name"})
     keys = ["banked_id", "unbanked_id"]
-    names = revealed.select(*keys, "partner_name").distinct()
-    counted = {"entity": revealed, "name": names}[count_by]
-    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("new_partners"))
+    # Both branches below start from this one aggregation, which is computed once.
+    names = revealed.groupBy(*keys, "partner_name").agg(F.count(F.lit(1)).alias("entities"))
+    counted = {"entity": F.sum("entities"), "name": F.count(F.lit(1))}[count_by]
+    counts = names.groupBy(*keys).agg(counted.alias("new_partners"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("partner_name"))
     samples = (
         names.withColumn("place", place)
