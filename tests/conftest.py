@@ -12,7 +12,9 @@ def spark():
 
     session = local_session("8", "tests", memory="8g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Hand-made graphs are tiny: plan them statically, in few tasks.
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
     yield session
     remove_written(session)
     session.stop()

@@ -9,8 +9,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def db():
-    return connect(FOLDER)
+def db(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    yield connect(FOLDER)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
 
 
 @pytest.mark.parametrize("name", list(queries()))
