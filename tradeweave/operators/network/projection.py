@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.hubs import HUB_DEGREE
 
+# Rounds of joins are planned for about this many edges per task.
+EDGES_PER_PARTITION = 500_000
+
 
 class Projection(NamedTuple):
     nodes: DataFrame  # id, isolated entities included
@@ -39,10 +42,11 @@ class SpreadEdges(NamedTuple):
 
     edges: DataFrame  # near, slot, far, weight
     slots: DataFrame  # near, slots
+    counted: DataFrame  # what is held in memory behind slots
 
     def release(self) -> None:
         self.edges.unpersist()
-        self.slots.unpersist()
+        self.counted.unpersist()
 
 
 def spread_edges(edges: DataFrame, near: str, far: str, weight: Column, hub_degree: int = HUB_DEGREE) -> SpreadEdges:
@@ -54,17 +58,21 @@ def spread_edges(edges: DataFrame, near: str, far: str, weight: Column, hub_degr
     """
     rows = edges.select(F.col(near).alias("near"), F.col(far).alias("far"), weight.alias("weight"))
     slots = rows.groupBy("near").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(hub_degree)).cast("int").alias("slots")
+        F.count(F.lit(1)).alias("degree"),
+        F.ceil(F.count(F.lit(1)) / F.lit(hub_degree)).cast("int").alias("slots"),
     ).persist()
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = edges.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = slots.agg(F.sum("degree")).first()[0] or 0
+    parts = min(most, max(spark.sparkContext.defaultParallelism, int(wanted) // EDGES_PER_PARTITION))
     dealt = (
-        rows.join(slots, "near")
+        rows.join(slots.drop("degree"), "near")
         .withColumn("slot", F.pmod(F.xxhash64("far"), F.col("slots")).cast("int"))
         .select("near", "slot", "far", "weight")
         .repartition(parts, "near", "slot")
         .persist()
     )
-    return SpreadEdges(dealt, slots)
+    return SpreadEdges(dealt, slots.drop("degree"), slots)
 
 
 def on_slots(values: DataFrame) -> DataFrame:
