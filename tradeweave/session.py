@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,26 @@ def local_session(cores: str = "*", app_name: str = "tradeweave", memory: str =
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package wherever the driver was started from.
+
+    Functions that Arrow runs are pickled by name.  Spark sends the archive to
+    each executor itself; it is a few hundred kilobytes of source.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tradeweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tradeweave-source-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._tradeweave_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
