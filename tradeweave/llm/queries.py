@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe
+from tradeweave.llm import bpe, quality_conv
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = quality_conv.train(docs, _table(spark, sf_dir, "labels"))
+    held_out = (quality_conv.fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return quality_conv.score(docs, net, ["doc_id", held_out])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_conv": op1_quality_conv,
     "op9_bpe": op9_bpe,
 }
 
