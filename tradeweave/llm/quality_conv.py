@@ -27,6 +27,8 @@ PAD = 256
 BYTE_DIMS, FILTERS, HIDDEN = 8, 24, 16
 #: Bounds of the sample that the filters are learned from.
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 2_000, 20_000, 10
+#: Batches to learn from at least; small samples go round more often.
+LEAST_STEPS = 300
 #: A document is of good quality from this score on.
 THRESHOLD = 0.3
 #: Half chunks that go through the filters at once.
@@ -149,8 +151,9 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int
     share = labels.mean()
     weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    steps, total = 0, epochs * -(-len(texts) // batch)
-    for _ in range(epochs):
+    rounds = max(epochs, -(-LEAST_STEPS // -(-len(texts) // batch)))
+    steps, total = 0, rounds * -(-len(texts) // batch)
+    for _ in range(rounds):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             picked = order[i : i + batch]

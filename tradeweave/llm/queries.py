@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, quality_conv
+from tradeweave.llm import bpe, decontaminate, quality_conv
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,17 @@ def op1_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_conv.score(docs, net, ["doc_id", held_out])
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
+    "op7_decontaminate": op7_decontaminate,
     "op9_bpe": op9_bpe,
 }
 
