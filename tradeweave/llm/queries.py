@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, pii, quality_conv
+from tradeweave.llm import bpe, decontaminate, near_dedup, pii, quality_conv
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_conv.score(docs, net, ["doc_id", held_out])
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
+    "op2_minhash": op2_minhash,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op7_decontaminate": op7_decontaminate,
     "op9_bpe": op9_bpe,
