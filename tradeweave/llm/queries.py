@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, near_dedup, pii, quality_conv
+from tradeweave.llm import bpe, decontaminate, near_dedup, pii, quality_conv, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
     "op2_minhash": op2_minhash,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op7_decontaminate": op7_decontaminate,
     "op9_bpe": op9_bpe,
+    "op10_line_rules": op10_line_rules,
 }
 
 ORACLES: dict[str, str] = {}
