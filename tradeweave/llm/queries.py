@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
+from tradeweave.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
     "op2_minhash": op2_minhash,
     "op3_pii_bootstrap": op3_pii_bootstrap,
+    "op4_license_windows": op4_license_windows,
     "op5_unigram_count": op5_unigram_count,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_efficiency": op8_token_efficiency,
