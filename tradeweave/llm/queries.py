@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
+from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality_conv.fold(F.col("doc_id"), 7)
+    return katz.score_corpus(_table(spark, sf_dir, "documents"), fold != 2, ["doc_id", (fold == 2).alias("held_out")]).scores
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_license_windows": op4_license_windows,
     "op5_unigram_count": op5_unigram_count,
+    "op6_katz": op6_katz,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_efficiency": op8_token_efficiency,
     "op9_bpe": op9_bpe,
