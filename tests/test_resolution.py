@@ -53,7 +53,7 @@ def test_fuzzy_vocabulary_finds_every_pair(spark, max_edits):
     assert rows(found, "left_token", "right_token", "edits") == want
 
 
-@pytest.mark.parametrize("n_tokens, min_score", [(2, 0.3), (2, 0.6), (1, 0.05)])
+@pytest.mark.parametrize("n_tokens, min_score", [(2, 1.2), (2, 2.2), (1, 0.2)])
 def test_blocking_scores_every_passing_pair(spark, n_tokens, min_score):
     pick = random.Random(5)
     common, rare = ["steel", "group"], random_words(25, 6, "klmno", 7)
@@ -72,7 +72,7 @@ def test_blocking_scores_every_passing_pair(spark, n_tokens, min_score):
             score = 0.0
             for q in words:
                 close = [
-                    math.log(len(banked) / df[w]) / math.log(len(banked)) * (1 - edit_distance(q, w) / min(len(q), len(w)))
+                    math.log(1 + (len(banked) - df[w] + 0.5) / (df[w] + 0.5)) * (1 - edit_distance(q, w) / min(len(q), len(w)))
                     for w in have if edit_distance(q, w) <= 2
                 ]
                 score += max([0.0, *close])
@@ -82,6 +82,27 @@ def test_blocking_scores_every_passing_pair(spark, n_tokens, min_score):
     assert want and rows(found, "unbanked_id", "banked_id", "block_score") == sorted(want)
 
 
+def test_equal_names_are_candidates_however_common(spark):
+    people = {1: {"name": "Alpha Foods"}, 2: {"name": "Alpha Foods"}, 9: {"name": "ALPHA  FOODS", "status": "unbanked"}}
+    found = blocking.block_candidates(entities(spark, people))
+    assert rows(found, "unbanked_id", "banked_id") == [(9, 1), (9, 2)]
+    one = blocking.block_candidates(entities(spark, {1: {"name": "Alpha"}, 9: {"name": "Alpha", "status": "unbanked"}}))
+    assert rows(one, "unbanked_id", "banked_id") == [(9, 1)]
+
+
+def test_blocking_score_keeps_as_the_table_grows(spark):
+    """A thousand times the names with the same word shares: every true pair keeps its score."""
+    words = random_words(40, 12, "pqrst", 8)
+    names = [f"{words[i % 40]} {words[(7 * i + 3) % 40]}" for i in range(40)]
+    twins = spark.createDataFrame([(10_000_001 + i, f"{n} ltd", "unbanked") for i, n in enumerate(names[:5])], "entity_id long, name string, status string")
+    small = spark.createDataFrame([(i, n, "banked") for i, n in enumerate(names)], "entity_id long, name string, status string")
+    large = small.selectExpr("explode(sequence(0, 999)) AS k", "*").selectExpr("entity_id + 40 * k AS entity_id", "name", "status")
+    few = blocking.block_candidates(small.unionByName(twins), min_score=3.0)
+    many = blocking.block_candidates(large.unionByName(twins), min_score=3.0).selectExpr("unbanked_id", "banked_id % 40 AS banked_id").distinct()
+    truth = {(10_000_001 + i, i) for i in range(5)}
+    assert truth <= set(rows(few, "unbanked_id", "banked_id")) and truth <= set(rows(many, "unbanked_id", "banked_id"))
+
+
 def demo(spark):
     people = entities(spark, {
         1: {"name": "Aurora Demo Metal Works", "region": "North"},

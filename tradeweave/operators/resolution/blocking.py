@@ -24,14 +24,15 @@ def _index_words(name: Column) -> Column:
 def _word_matches(words: DataFrame, banked: DataFrame, max_edits: int) -> DataFrame:
     """(query word, indexed word, weight): rarer words and closer spellings weigh more.
 
-    An exact hit on a word that occurs once weighs 1; a word found in every name
-    weighs 0.
+    The rarity depends on the share of names that hold a word, so a match keeps
+    its score as the table grows, and it is positive for any number of names.
     """
     indexed = banked.select(F.explode("words").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("names")
     )
     total = banked.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    rarity = F.log(total / F.col("names").cast("double")) / F.log(total)
+    names = F.col("names").cast("double")
+    rarity = F.log(1.0 + (total - names + 0.5) / (names + 0.5))
     shorter = F.least(F.length("left_token"), F.length("right_token")).cast("double")
     close = 1.0 - F.col("edits").cast("double") / shorter
     return (
@@ -46,14 +47,29 @@ def _word_matches(words: DataFrame, banked: DataFrame, max_edits: int) -> DataFr
     )
 
 
+def _plain(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), WORD_BREAK, " "))
+
+
+def _equal_names(unbanked: DataFrame, banked: DataFrame, matches: DataFrame, postings: DataFrame) -> DataFrame:
+    """(phrase, banked_id, score) of equal names, however common their words are."""
+    pairs = unbanked.where("plain <> ''").select("phrase", "plain").distinct().join(banked.select("banked_id", "plain"), "plain")
+    asked = pairs.select("phrase", "banked_id", F.posexplode("phrase").alias("pos", "query"))
+    best = (
+        asked.join(matches, "query").join(postings, ["banked_id", "word"])
+        .groupBy("phrase", "banked_id", "pos").agg(F.max("weight").alias("weight"))
+    )
+    return best.groupBy("phrase", "banked_id").agg(F.sum("weight").alias("score"))
+
+
 def block_candidates(
     entities: DataFrame,
     n_tokens: int = 2,
     max_edits: int = 2,
-    min_score: float = 0.3,
+    min_score: float = 3.0,
     strip: str = "()",
 ) -> DataFrame:
-    """(unbanked_id, banked_id, block_score) of pairs whose score exceeds min_score.
+    """(unbanked_id, banked_id, block_score) of pairs whose score exceeds min_score, or whose whole names are equal.
 
     The score adds, over the first words of the unbanked name, the weight of the
     best matching word of the banked name.  Work is done per distinct phrase of
@@ -63,11 +79,11 @@ def block_candidates(
     if n_tokens not in (1, 2):
         raise ValueError("blocking uses the first one or two words")
     banked = entities.where(F.col("status") == "banked").select(
-        F.col("entity_id").alias("banked_id"), _index_words(F.col("name")).alias("words")
+        F.col("entity_id").alias("banked_id"), _index_words(F.col("name")).alias("words"), _plain(F.col("name")).alias("plain")
     )
     words = _query_words(F.col("name"), strip, n_tokens)
     unbanked = entities.where(F.col("status") == "unbanked").select(
-        F.col("entity_id").alias("unbanked_id"), words.alias("phrase")
+        F.col("entity_id").alias("unbanked_id"), words.alias("phrase"), _plain(F.col("name")).alias("plain")
     )
     phrases = unbanked.select("phrase").distinct()
     queries = phrases.select(F.explode("phrase").alias("token")).where(F.col("token") != "").distinct()
@@ -97,11 +113,12 @@ def block_candidates(
             "banked_id", "word0", F.explode("words").alias("word1")
         )
         hits.append(both.join(word_pairs, ["word0", "word1"]).select("phrase", "banked_id", "score"))
+    hits.append(_equal_names(unbanked, banked, matches, postings))
     scored = hits[0]
     for more in hits[1:]:
         scored = scored.unionByName(more)
     best = scored.groupBy("phrase", "banked_id").agg(F.max("score").alias("score"))
-    return best.join(unbanked, "phrase").select(
+    return best.join(unbanked.select("unbanked_id", "phrase"), "phrase").select(
         "unbanked_id", "banked_id", rounded(F.col("score"), 6).alias("block_score")
     )
 
@@ -110,7 +127,7 @@ def block_candidates_preview(
     entities: DataFrame,
     n_tokens: int = 1,
     max_edits: int = 2,
-    min_score: float = 0.5,
+    min_score: float = 1.5,
     n: int = 50,
 ) -> DataFrame:
     """Best candidates found with the first word only, to judge the blocking."""

@@ -363,7 +363,7 @@ def e6_shortest_path_far(g):
 
 @query
 def r1_block_candidates_preview(g):
-    return blocking.block_candidates_preview(g.entities, min_score=0.2)
+    return blocking.block_candidates_preview(g.entities)
 
 
 @query

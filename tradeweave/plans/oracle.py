@@ -156,6 +156,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT DISTINCT entity_id AS banked_id, w.word FROM entities, "
         "unnest(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+')) AS w(word) WHERE status = 'banked' AND w.word <> ''",
     ),
+    "plain_names": (
+        ("entities",),
+        "SELECT entity_id, trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS plain FROM entities",
+    ),
     "word_counts": (("banked_words",), "SELECT word, count(*) AS names FROM banked_words GROUP BY word"),
     "n_banked": (("entities",), "SELECT CAST(count(*) AS DOUBLE) AS n FROM entities WHERE status = 'banked'"),
     "phrases": (
@@ -171,7 +175,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "word_matches": (
         ("query_words", "word_counts", "n_banked"),
         """
-        SELECT query, word, ln(n / CAST(names AS DOUBLE)) / ln(n)
+        SELECT query, word, ln(1 + (n - names + 0.5) / (names + 0.5))
                * (CAST(1 AS DOUBLE) - CAST(levenshtein(query, word) AS DOUBLE) / CAST(least(length(query), length(word)) AS DOUBLE)) AS weight
         FROM (SELECT DISTINCT query FROM query_words), word_counts, n_banked WHERE levenshtein(query, word) <= 2
         """,
@@ -185,8 +189,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """,
     ),
     "candidates": (
-        ("word_hits",),
-        f"SELECT unbanked_id, banked_id, {r('sum(weight)', 6)} AS block_score FROM word_hits GROUP BY 1, 2 HAVING sum(weight) > CAST(0.3 AS DOUBLE)",
+        ("word_hits", "plain_names"),
+        f"SELECT unbanked_id, banked_id, {r('sum(weight)', 6)} AS block_score FROM word_hits "
+        "JOIN plain_names u ON u.entity_id = unbanked_id JOIN plain_names b ON b.entity_id = banked_id "
+        "GROUP BY 1, 2 HAVING sum(weight) > CAST(3 AS DOUBLE) OR bool_or(u.plain = b.plain)",
     ),
     "degrees": (("pairs",), "SELECT id, count(*) AS n FROM pairs GROUP BY id"),
     "overlap_of": (
@@ -626,7 +632,7 @@ ORACLES: dict[str, str] = {
     "e6_shortest_path_far": sql("", "pairs", "entities") + PATH.format(b=8),
     "r1_block_candidates_preview": sql(
         f"SELECT unbanked_id, u.name AS unbanked_name, banked_id, b.name AS banked_name, {r(r('weight', 6), 3)} AS block_score FROM word_hits "
-        "JOIN entities u ON u.entity_id = unbanked_id JOIN entities b ON b.entity_id = banked_id WHERE pos = 1 AND weight > CAST(0.2 AS DOUBLE) "
+        "JOIN entities u ON u.entity_id = unbanked_id JOIN entities b ON b.entity_id = banked_id WHERE pos = 1 AND weight > CAST(1.5 AS DOUBLE) "
         f"ORDER BY {r('weight', 6)} DESC, unbanked_id, banked_id LIMIT 50",
         "word_hits",
     ),
