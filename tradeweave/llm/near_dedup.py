@@ -25,14 +25,15 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.functions.columns import broadcast_if_small
-from tradeweave.llm.arrow_map import per_text
+from tradeweave.llm.arrow_map import per_group, per_text
 from tradeweave.llm.components import components
+from tradeweave.llm.words import hashed, mix, split
 from tradeweave.session import ship_package, write_table
 
 WORDS, ALIKE_TOP, ALIKE_BOTTOM = 3, 85, 100
@@ -41,56 +42,37 @@ MINIMA, BANDS, PER_BAND, BITS = 128, 25, 5, 2
 MAY_BE_ALIKE = 0.66
 #: Classes of one bucket, and classes and shingles of one family, that make a block.
 BUCKET_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 10_000, 3_000, 2_000_000
-#: Distinct words whose hashes a Python worker remembers.
-KNOWN_WORDS = 300_000
 FIELDS = np.uint64(0x5555555555555555)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _WordHashes()
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; bytes.lower and bytes.split know ASCII only."""
-    spelled = text.encode().lower().split()
+    """Sorted distinct 64-bit hashes of the word shingles of a text."""
+    spelled = split(text)
     if not spelled:
         return np.empty(0, np.uint64)
     if len(spelled) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(spelled), seed=len(spelled))], np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, spelled), np.uint64, len(spelled))
+    hashes = hashed(spelled)
     n = len(hashes) - words + 1
     mixed = np.zeros(n, np.uint64)
     for i in range(words):
-        mixed = _mix(mixed ^ hashes[i : i + n])
+        mixed = mix(mixed ^ hashes[i : i + n])
     return np.unique(mixed)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
+_RANDOM = np.random.default_rng(11)
+_ODD = (_RANDOM.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32) | np.uint32(1))
+_SHIFT = _RANDOM.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32)
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    """Minimum of each of MINIMA hash functions, the upper half of a multiplied hash; blocks keep it in the cache."""
+    """Minimum of each of MINIMA linear functions of the (already mixed) hashes modulo 2**32; blocks stay in the cache."""
     least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    odd = _SEEDS | np.uint64(1)
-    for i in range(0, len(found), 4096):
-        part = found[i : i + 4096]
-        for k in range(MINIMA):
-            low = ((part ^ _SEEDS[k]) * odd[k]) >> np.uint64(32)
-            least[k] = min(least[k], low.min())
+    upper = (found >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(upper), 512):
+        values = upper[None, i : i + 512] * _ODD
+        values += _SHIFT
+        np.minimum(least, values.min(axis=1), out=least)
     return least
 
 
@@ -101,7 +83,7 @@ def _signature(text: str) -> tuple:
     least = minima(found)
     mixed = np.zeros(BANDS, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least[: BANDS * PER_BAND].reshape(BANDS, PER_BAND).T:
-        mixed = _mix(mixed ^ column)
+        mixed = mix(mixed ^ column)
     low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
     packed = np.bitwise_or.reduce(low, axis=1)
     return len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), mixed.view(np.int64).tolist(), packed.tobytes()
@@ -169,11 +151,13 @@ def like_sets(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]
     return alike
 
 
-def _star(keys: pd.Series, label: np.ndarray) -> pd.DataFrame:
+def _star(keys: list[bytes], label: np.ndarray) -> dict[str, list]:
     """Each item of a joined set tied to the smallest key of its set."""
-    table = pd.DataFrame({"a": keys.to_numpy(), "label": label})
-    table["b"] = table.groupby("label")["a"].transform("min")
-    return table.loc[table["a"] != table["b"], ["a", "b"]]
+    least: dict[int, bytes] = {}
+    for key, k in zip(keys, label.tolist()):
+        least[k] = min(least.get(k, key), key)
+    tied = [(key, least[k]) for key, k in zip(keys, label.tolist()) if key != least[k]]
+    return {"a": [key for key, _ in tied], "b": [key for _, key in tied]}
 
 
 def _in_blocks(members: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -195,11 +179,12 @@ def _candidate_links(classes: DataFrame) -> DataFrame:
     members = banded.join(broadcast_if_small(buckets), "bucket").join(classes.select("set_key", "n_shingles", "signature"), "set_key")
     tasks = _in_blocks(members, "bucket", F.ceil(F.col("n") / BUCKET_BLOCK)).select("task", "set_key", "n_shingles", "signature")
 
-    def tie(group: pd.DataFrame) -> pd.DataFrame:
-        packed = np.frombuffer(b"".join(group["signature"]), np.uint64).reshape(len(group), -1)
-        return _star(group["set_key"], forest(len(group), like_signatures(group["n_shingles"].to_numpy(), packed)))
+    def tie(group: pa.Table) -> dict[str, list]:
+        keys = group.column("set_key").to_pylist()
+        packed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(keys), -1)
+        return _star(keys, forest(len(keys), like_signatures(group.column("n_shingles").to_numpy(), packed)))
 
-    return tasks.groupBy("task").applyInPandas(tie, "a binary, b binary")
+    return per_group(tasks, "task", tie, "a binary, b binary")
 
 
 def _confirmed_links(docs: DataFrame, families: DataFrame) -> DataFrame:
@@ -222,12 +207,13 @@ def _confirmed_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     full = per_text(texts, sets, "digest binary, shingles array<long>", ["set_key", "family", "blocks"]).where("digest = set_key").drop("digest")
     tasks = _in_blocks(full, "family", F.col("blocks")).select("task", "set_key", "shingles")
 
-    def tie(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("set_key")
-        found = [np.asarray(s, np.int64) for s in group["shingles"]]
-        return _star(group["set_key"], forest(len(found), like_sets(found)))
+    def tie(group: pa.Table) -> dict[str, list]:
+        # Rows repeating an id and its text are one class.
+        found = dict(zip(group.column("set_key").to_pylist(), group.column("shingles")))
+        sets_of = [x.values.to_numpy() for x in found.values()]
+        return _star(list(found), forest(len(found), like_sets(sets_of)))
 
-    return tasks.groupBy("task").applyInPandas(tie, "a binary, b binary")
+    return per_group(tasks, "task", tie, "a binary, b binary")
 
 
 def groups(docs: DataFrame) -> DataFrame:
