@@ -10,13 +10,14 @@ How the work is dealt:
 * Texts are read once and written as chunks of about CHUNK_TOKENS tokens (their words'
   hashes and positions in that list), in a table bucketed by chunk, so that later joins on the
   chunk move only the small side.
-* Word counts are one grouped sum; each chunk gets back the ids and counts of its words.
+* Each chunk lists its words once, dealt to blocks by ranges of their hashes; a block sums
+  the counts of all chunks and answers each with ids and counts in the order it asked.
 * Each chunk lists its distinct pairs of known words once, dealt to blocks by
   the first word.  A block sums the counts of all chunks, keeps them as a table
   partitioned by kind, and answers each chunk with the counts in the order it asked, so
   neither tokens nor pairs travel twice.  A first word with many tokens is spread over blocks by the
   second word; its sums are added up afterwards.
-* Backoff weights are one more grouped sum by first word.
+* Backoff weights are summed by blocks of first words and answered in the same way.
 
 All counts cover all training texts.  Tokens are the words of a text (A-Z lower-cased, separated by
 ASCII blanks) and one end; the end is also the history of the first word.
@@ -44,7 +45,7 @@ from tradeweave.llm.words import hashed, mix, split
 from tradeweave.session import new_folder, ship_package
 
 #: Tokens of a chunk, and tokens of a block of pairs.
-CHUNK_TOKENS, BLOCK_TOKENS = 3_000_000, 1_000_000
+CHUNK_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: No word holds a blank, so the end has a hash of its own kind.
@@ -126,7 +127,7 @@ def backoff(held: np.ndarray, history: np.ndarray, covered: np.ndarray) -> tuple
 
 @dataclass
 class Model:
-    """Tables in the shared folder: words (word, n, id), and pairs in blocks partitioned by kind."""
+    """Tables in the shared folder, as packed blocks: words (block, words, n), pairs (block, h, w, c), backoffs (block, h, held, covered)."""
 
     words: DataFrame
     pairs: DataFrame
@@ -202,14 +203,19 @@ def _sequences(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int
     return tokens, before, np.repeat([d["train"] for d in row.docs], sizes), starts, len(sizes)
 
 
+def _joined(replies: list | None, name: str, dtype) -> np.ndarray:
+    """One array of the parts that blocks replied with, in the order of blocks."""
+    return np.concatenate([unpack(r[name], dtype) for r in replies]) if replies is not None and len(replies) else np.empty(0, dtype)
+
+
 def _known(row) -> tuple[np.ndarray, np.ndarray]:
     """Id (-1: not in training) and training count of each word of a chunk."""
-    vocabulary = unpack(row.words, np.uint64)
-    ids, counts = np.full(len(vocabulary), -1, np.int64), np.zeros(len(vocabulary), np.int64)
-    if row.known is not None:
-        at = np.searchsorted(vocabulary, unpack(row.known, np.uint64))
-        ids[at], counts[at] = unpack(row.ids, np.int64), unpack(row.counts, np.int64)
-    return ids, counts
+    return _joined(row.answers, "ids", np.int64), _joined(row.answers, "n", np.int64)
+
+
+def _by_chunk(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The replies to each chunk in the order of blocks.  A chunk asks a block once, so the list is bounded by the chunk."""
+    return rows.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("block", *columns))).alias(name))
 
 
 def _pairs(tokens, before, ids, counts, blocks: int) -> tuple:
@@ -237,21 +243,22 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = _bucketed(_chunks(docs, keep, F.coalesce(train, F.lit(False)), text, chunk_tokens), "katz-chunks", "chunk", buckets)
 
-    def listed(row) -> pd.DataFrame:
-        words = unpack(row.words, np.uint64)
-        return pd.DataFrame({"word": words.view(np.int64), "chunk": row.chunk, "n": unpack(row.local, np.uint32).astype(np.int64)})
-
-    uses = chunks.select("chunk", "words", "local").mapInPandas(lambda frames: _rows(frames, listed), "word long, chunk long, n long")
-    words = _written(uses.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "katz-words")
-    seen = words.agg(F.sum("n"), F.count("*"), *[F.count(F.when(F.col("n") == r, 1)) for r in range(1, DISCOUNTED + 2)]).first()
-    unigrams = Unigrams.of(seen[0] or 0, seen[1], list(seen[2:]))
-
-    def answered(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "known": [pack(frame["word"].to_numpy())], "ids": [pack(frame["id"].to_numpy())], "counts": [pack(frame["n"].to_numpy())]})
+    # As many blocks of words as chunks: a block then gets about as many words as a chunk has.
+    word_blocks = max(1, chunks.count())
 
-    answers = uses.select("word", "chunk").join(words, "word").groupBy("chunk").applyInPandas(answered, "chunk long, known binary, ids binary, counts binary")
-    answers = _written(answers, "katz-answers")
+    def listed(row) -> pd.DataFrame:
+        words, local = unpack(row.words, np.uint64), unpack(row.local, np.uint32).astype(np.int64)
+        block = ((words >> np.uint64(32)) * np.uint64(word_blocks) >> np.uint64(32)).astype(np.int64)
+        cuts, parts = _parts(block)
+        return pd.DataFrame({"block": block[cuts], "chunk": row.chunk, "words": [pack(words[a:b]) for a, b in parts], "n": [pack(local[a:b]) for a, b in parts]})
+
+    uses = chunks.select("chunk", "words", "local").mapInPandas(lambda frames: _rows(frames, listed), "block long, chunk long, words binary, n binary")
+    words = _written(uses.groupBy("block").applyInPandas(_sum_words, "kind string, block long, chunk long, words binary, ids binary, n binary, seen array<long>"), "katz-words", "kind")
+    tables = words.where("kind = 'words'").select("block", "words", "n", "seen")
+    seen = tables.select(*[F.coalesce(F.sum(F.get("seen", F.lit(i))), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
+    unigrams = Unigrams.of(seen[0], seen[1], list(seen[2:]))
+    replied = words.where("kind = 'reply'")
+    answers = _by_chunk(replied, "answers", "ids", "n")
     blocks = 1 + unigrams.tokens // BLOCK_TOKENS
 
     def asked(row) -> pd.DataFrame:
@@ -259,13 +266,12 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
         ids, counts = _known(row)
         both, inverse, order, block, h, w, n_h, n_w = _pairs(tokens, before, ids, counts, blocks)
         c = np.bincount(inverse, weights=taught[both], minlength=len(order)).astype(np.int64)[order]
-        cuts = np.flatnonzero(np.diff(block, prepend=-1))
-        parts = list(zip(cuts, [*cuts[1:], len(block)]))
+        cuts, parts = _parts(block)
         columns = {"block": block[cuts], "chunk": np.full(len(cuts), row.chunk)}
         columns |= {name: [pack(x[a:b]) for a, b in parts] for name, x in (("h", h), ("w", w), ("n_h", n_h), ("n_w", n_w), ("c", c))}
         return pd.DataFrame(columns)
 
-    requests = chunks.select("chunk", "docs", "words", "tokens").join(answers, "chunk", "left").mapInPandas(
+    requests = chunks.select("chunk", "docs", "tokens").join(answers, "chunk").mapInPandas(
         lambda frames: _rows(frames, asked), "block long, chunk long, h binary, w binary, n_h binary, n_w binary, c binary"
     )
 
@@ -280,22 +286,22 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
     def histories(row) -> pd.DataFrame:
         held = unpack(row.c, np.int64).reshape(-1, DISCOUNTED + 1)
         value = held[:, :DISCOUNTED] @ (np.array(factors) * np.arange(1, DISCOUNTED + 1)) + held[:, DISCOUNTED]
-        return pd.DataFrame({"id": unpack(row.h, np.int64), "n": unpack(row.n_h, np.int64), "held": value, "covered": unpack(row.covered, np.float64)})
-
-    partial = pairs.where("kind = 'history'").select("h", "c", "n_h", "covered").mapInPandas(lambda frames: _rows(frames, histories), "id long, n long, held double, covered double")
-    backoffs = _written(partial.groupBy("id").agg(F.first("n").alias("n"), F.sum("held").alias("held"), F.sum("covered").alias("covered")), "katz-backoffs")
-
-    def named(row) -> pd.DataFrame:
-        return pd.DataFrame({"id": unpack(row.ids, np.int64), "chunk": row.chunk})
+        ids = unpack(row.h, np.int64)
+        cuts, parts = _parts(ids >> 32)
+        columns = (("h", ids), ("n_h", unpack(row.n_h, np.int64)), ("held", value), ("covered", unpack(row.covered, np.float64)))
+        return pd.DataFrame({"block": (ids >> 32)[cuts]} | {name: [pack(x[a:b]) for a, b in parts] for name, x in columns})
 
-    def weighed(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "at": [pack(frame["id"].to_numpy())], "held": [pack(frame["held"].to_numpy())], "covered": [pack(frame["covered"].to_numpy())]})
-
-    needed = answers.select("chunk", "ids").mapInPandas(lambda frames: _rows(frames, named), "id long, chunk long")
-    weights = needed.join(backoffs.drop("n"), "id").groupBy("chunk").applyInPandas(weighed, "chunk long, at binary, held binary, covered binary")
-    # A chunk asks each block once, so the list is bounded by the chunk.
-    replies = pairs.where("kind = 'reply'").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("block", "c"))).alias("replies"))
-    together = chunks.select("chunk", "docs", "words", "tokens").join(answers, "chunk", "left").join(weights, "chunk", "left").join(replies, "chunk", "left")
+    partial = pairs.where("kind = 'history'").select("h", "c", "n_h", "covered").mapInPandas(
+        lambda frames: _rows(frames, histories), "block long, h binary, n_h binary, held binary, covered binary"
+    )
+    weights = replied.select("block", "chunk", "ids").groupBy("block").cogroup(partial.groupBy("block")).applyInPandas(
+        _weigh, "block long, chunk long, scale binary, weight binary"
+    )
+    together = (
+        chunks.select("chunk", "docs", "tokens").join(answers, "chunk")
+        .join(_by_chunk(weights, "weights", "scale", "weight"), "chunk")
+        .join(_by_chunk(pairs.where("kind = 'reply'"), "replies", "c"), "chunk", "left")
+    )
     fields = [("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")]
     kept = docs.select(*keep).schema
     schema = T.StructType([T.StructField("kept", kept), *T._parse_datatype_string(", ".join(f"{a} {b}" for a, b in fields)).fields])
@@ -310,7 +316,7 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, arrow)], names=arrow.names)
 
     scores = together.mapInArrow(scored, schema).select("kept.*", *[name for name, _ in fields])
-    return Model(words, pairs.where("kind = 'pairs'").select("block", "h", "w", "c"), backoffs, unigrams, factors, scores)
+    return Model(tables, pairs.where("kind = 'pairs'").select("block", "h", "w", "c"), partial, unigrams, factors, scores)
 
 
 class _Row:
@@ -318,6 +324,50 @@ class _Row:
         self.__dict__.update(values)
 
 
+def _parts(block: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Starts of runs of equal blocks, and the runs."""
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    return cuts, list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]))
+
+
+def _sum_words(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a block's words over all chunks, and a reply to each chunk; an id is the block and a place in it."""
+    lists, counts = [unpack(x, np.uint64) for x in frame["words"]], [unpack(x, np.int64) for x in frame["n"]]
+    words, which = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)
+    block = int(frame["block"].iloc[0])
+    ids = np.where(total > 0, (block << 32) + np.arange(len(words)), -1)
+    known = total > 0
+    of_counts = np.bincount(total[known], minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2].tolist()
+    table = {"kind": ["words"], "chunk": [None], "words": [pack(words[known])], "ids": [pack(ids[known])], "n": [pack(total[known])], "seen": [[int(total.sum()), int(known.sum()), *of_counts]]}
+    ends = np.cumsum([len(x) for x in lists])[:-1]
+    own_ids, own_counts = np.split(ids[which], ends), np.split(total[which], ends)
+    replies = {"kind": "reply", "chunk": frame["chunk"].tolist(), "ids": [pack(x) for x in own_ids], "n": [pack(x) for x in own_counts]}
+    made = pd.concat([pd.DataFrame(table), pd.DataFrame(replies)], ignore_index=True).assign(block=block)
+    made["chunk"] = made["chunk"].astype("Int64")
+    return made[["kind", "block", "chunk", "words", "ids", "n", "seen"]].replace({np.nan: None})
+
+
+def _weigh(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Factor on seen pairs and backoff weight of each word that a chunk asked about; a word without pairs in training backs off whole."""
+    parts = [[unpack(x, t) for x in found[name]] for name, t in (("h", np.int64), ("n_h", np.int64), ("held", np.float64), ("covered", np.float64))]
+    h, n_h, held, covered = (np.concatenate(x) if x else np.empty(0) for x in parts)
+    ids, which = np.unique(h.astype(np.int64), return_inverse=True)
+    history = np.ones(len(ids))
+    history[which] = n_h
+    scale, weight = backoff(np.bincount(which, held, len(ids)), history, np.bincount(which, covered, len(ids))) if len(ids) else (np.empty(0), np.empty(0))
+    rows = []
+    for chunk, block, packed in zip(asked["chunk"], asked["block"], asked["ids"]):
+        mine = unpack(packed, np.int64)
+        own_scale, own_weight = np.ones(len(mine)), np.ones(len(mine))
+        if len(ids):
+            at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+            hit = ids[at] == mine
+            own_scale[hit], own_weight[hit] = scale[at[hit]], weight[at[hit]]
+        rows.append((block, chunk, pack(own_scale), pack(own_weight)))
+    return pd.DataFrame(rows, columns=["block", "chunk", "scale", "weight"])
+
+
 def _sum_block(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
     """Counts of one block over all chunks: the pairs, what their histories hold, and a reply to each chunk."""
     columns = {name: [unpack(x, np.int64) for x in frame[name]] for name in ("h", "w", "n_h", "n_w", "c")}
@@ -358,15 +408,10 @@ def _score_chunk(row: _Row, unigrams: Unigrams, factors: list[float], blocks: in
     ids, counts = _known(row)
     both, inverse, order, _, _, _, _, _ = _pairs(tokens, before, ids, counts, blocks)
     found = np.zeros(len(order), np.int64)
-    if len(order):
-        found[order] = np.concatenate([unpack(r["c"], np.int64) for r in row.replies])
+    found[order] = _joined(row.replies, "c", np.int64)
     c = np.zeros(len(tokens), np.int64)
     c[both] = found[inverse]
-    scale, weight = np.ones(len(ids)), np.ones(len(ids))
-    if row.at is not None:
-        place = {i: k for k, i in enumerate(ids.tolist()) if i >= 0}
-        at = np.array([place[i] for i in unpack(row.at, np.int64).tolist()], np.int64)
-        scale[at], weight[at] = backoff(unpack(row.held, np.float64), counts[at], unpack(row.covered, np.float64))
+    scale, weight = _joined(row.weights, "scale", np.float64), _joined(row.weights, "weight", np.float64)
     word = unigrams.probability(counts)
     pair = scale[before] * discounted(c, factors) / np.maximum(counts[before], 1)
     # The recursion: the pair if it was seen, else the history's weight times the word, which itself backs off to the unknown.
