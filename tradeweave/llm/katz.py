@@ -54,7 +54,7 @@ END = xxhash.xxh64_intdigest(b" ")
 
 def pack(x: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
