@@ -178,7 +178,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
         automaton, words, _ = _worker_tables(definition.value)
         return lambda texts: [(automaton.encode(x, words),) for x in texts]
 
-    return per_text(docs, prepare, "ids array<int>", keep if keep is not None else _all_columns(docs, "ids"), text)
+    kept = keep if keep is not None else _all_columns(docs, "ids")
+    packed = docs.select(F.struct(*kept).alias("kept"), F.col(text).alias("whole text"))
+    return per_text(packed, prepare, "ids array<int>", ["kept"], "whole text").select("kept.*", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep: list[str | Column] | None = None) -> DataFrame:
