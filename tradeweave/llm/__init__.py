@@ -1 +1 @@
-"""Operators of a training-data pipeline; see README.md of this folder."""
+"""Operators of a training-data pipeline; each module states its method, bounds and defined results."""

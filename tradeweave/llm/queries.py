@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
+from tradeweave.llm.oracles import ORACLES as ORACLES  # registered with QUERIES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_line_rules": op10_line_rules,
 }
-
-ORACLES: dict[str, str] = {}
