@@ -4,6 +4,8 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tradeweave.plans.catalog import QUERIES
+from tradeweave.plans.oracle import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,6 +28,6 @@ def test_entry(spark):
 
 
 def test_only_communities_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLES) == {
         "g2_louvain", "g5_communities_bridged", "g7_community_summary", "g8_dominant_sector", "g9_top_brokers",
     }

@@ -8,6 +8,7 @@ from helpers import accounts, rows, trades, transactions
 from tradeweave.operators import maintenance
 from tradeweave.operators.edges import trades_with
 from tradeweave.session import shared_dir, write_table
+from tradeweave.plans import exports
 from tradeweave.sources import files
 from tradeweave.streaming.trades import compact, current_trades, stream_trades
 
@@ -64,6 +65,15 @@ def test_loading_drops_and_reports_orphans(spark, bank):
     assert rows(trades_with(paid.accepted, owned.accepted), "src", "dst") == [("C1", "U1"), ("U1", "C1")]
 
 
+def test_quotes_commas_and_backslashes_survive(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_bytes(b'sicCode,name,sector\r\n1,"Bits ""and"" bobs, misc",S\r\n2,"C:\\",T\r\n3,plain \\ text,U\r\n4,"",V\r\n')
+    found = rows(files.read_industries(spark, str(path)), "sic_code", "name", "sector")
+    assert found[:3] == [("1", 'Bits "and" bobs, misc', "S"), ("2", "C:\\", "T"), ("3", "plain \\ text", "U")]
+    again = exports.industries_csv(files.read_industries(spark, str(path)))
+    assert rows(files.read_industries(spark, again), "sic_code", "name", "sector")[:3] == found[:3]
+
+
 def test_unique_keys(spark):
     df = files.inline_rows(spark, [("a",), ("a",), ("b",), (None,), (None,)], "k string")
     assert rows(maintenance.check_unique(df, "k"), "k", "count") == [("a", 2)]

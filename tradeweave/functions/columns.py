@@ -65,6 +65,11 @@ def deal_out(df: DataFrame, *keys: str) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
+def broadcast_top(df: DataFrame, n: int | None) -> DataFrame:
+    """Mark df, of n rows at most, for broadcast unless the caller asked for very many rows."""
+    return F.broadcast(df) if n is not None and n <= BROADCAST_ROWS else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if a count, cut off above max_rows, shows it is small.
 

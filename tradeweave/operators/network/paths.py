@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.functions.columns import attach
-from tradeweave.operators.edges import neighbour_pairs
 from tradeweave.session import write_table
 
 
@@ -18,7 +17,10 @@ def shortest_path(
     Each node's parent is its smallest neighbour one level up, which makes the
     path unique.  The search stops at the level that reaches b.
     """
-    pairs = neighbour_pairs(trades)
+    # The minimum below takes care of repeated pairs, so they need not be distinct.
+    pairs = trades.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).unionByName(
+        trades.select(F.col("dst").alias("id"), F.col("src").alias("nbr"))
+    )
     level = write_table(
         entities.where(F.col("entity_id") == F.lit(a)).select(
             F.col("entity_id").alias("id"), F.col("entity_id").alias("parent")

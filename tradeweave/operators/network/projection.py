@@ -62,9 +62,8 @@ def spread_edges(edges: DataFrame, near: str, far: str, weight: Column, hub_degr
         F.ceil(F.count(F.lit(1)) / F.lit(hub_degree)).cast("int").alias("slots"),
     ).persist()
     spark = edges.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = slots.agg(F.sum("degree")).first()[0] or 0
-    parts = min(most, max(spark.sparkContext.defaultParallelism, int(wanted) // EDGES_PER_PARTITION))
+    parts = max(spark.sparkContext.defaultParallelism, int(wanted) // EDGES_PER_PARTITION)
     dealt = (
         rows.join(slots.drop("degree"), "near")
         .withColumn("slot", F.pmod(F.xxhash64("far"), F.col("slots")).cast("int"))

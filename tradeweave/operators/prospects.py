@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, keep_status, largest_first, rounded, with_status
+from tradeweave.functions.columns import attach, broadcast_top, keep_status, largest_first, rounded, with_status
 from tradeweave.operators.edges import neighbours
 
 
@@ -73,9 +73,9 @@ def _multi_payer(
     )
 
 
-def _payers_of(targets: DataFrame, trades: DataFrame, entities: DataFrame) -> DataFrame:
+def _payers_of(targets: DataFrame, trades: DataFrame, entities: DataFrame, n: int) -> DataFrame:
     """Banked payers of a top-n list of targets, one row per edge."""
-    ids = F.broadcast(targets.select(F.col("entity_id").alias("dst")))
+    ids = broadcast_top(targets.select(F.col("entity_id").alias("dst")), n)
     paid = _from_banked(trades.join(ids, "dst", "left_semi"), entities)
     return attach(paid, entities, "src", {"name": "payer_name"}).withColumnRenamed("dst", "entity_id")
 
@@ -89,10 +89,10 @@ def multi_payer_targets(
     row, or one task, could hold.
     """
     targets = _multi_payer(trades, entities, min_payers, n, count_by)
-    payers = _payers_of(targets, trades, entities)
+    payers = _payers_of(targets, trades, entities, n)
     keys = ["entity_id", "payer_name"] if count_by == "name" else ["entity_id", "src", "payer_name"]
     listed = payers.select(*keys).distinct()
-    return F.broadcast(targets).join(listed, "entity_id").drop("src")
+    return broadcast_top(targets, n).join(listed, "entity_id").drop("src")
 
 
 def multi_payer_sample(
@@ -105,7 +105,7 @@ def multi_payer_sample(
 ) -> DataFrame:
     """As multi_payer_targets, with only the first payer names in name order."""
     targets = _multi_payer(trades, entities, min_payers, n, count_by)
-    names = _payers_of(targets, trades, entities).select("entity_id", "payer_name").distinct()
+    names = _payers_of(targets, trades, entities, n).select("entity_id", "payer_name").distinct()
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy("payer_name"))
     first = (
         names.withColumn("place", place)
@@ -137,9 +137,9 @@ def unbanked_by_industry(
 
 
 def _top_targets(trades: DataFrame, entities: DataFrame, n: int) -> DataFrame:
-    """Ids of the n largest targets: n rows, so safe to broadcast."""
+    """Ids of the n largest targets."""
     best = inbound_from_banked(trades, entities).orderBy(largest_first("inbound"), "dst").limit(n)
-    return F.broadcast(best.select(F.col("dst").alias("entity_id")))
+    return broadcast_top(best.select(F.col("dst").alias("entity_id")), n)
 
 
 def top_target_network(trades: DataFrame, entities: DataFrame, n: int = 1) -> DataFrame:
@@ -155,7 +155,7 @@ def top_target_network(trades: DataFrame, entities: DataFrame, n: int = 1) -> Da
 def top_targets_with_payers(trades: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     targets = _top_targets(trades, entities, k)
     return (
-        _payers_of(targets, trades, entities)
+        _payers_of(targets, trades, entities, k)
         .select(
             F.col("src").alias("payer_id"),
             "payer_name",

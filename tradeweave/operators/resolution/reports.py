@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, ratio, rounded
+from tradeweave.functions.columns import attach, broadcast_top, largest_first, ratio, rounded
 from tradeweave.operators.edges import neighbour_pairs, neighbours
 from tradeweave.operators.resolution.scoring import MIN_CONFIDENCE
 
@@ -187,11 +187,11 @@ def match_network(
     pair, with one empty row per side that does not.  Edges of the two sides are
     listed one after the other, never multiplied with each other.
     """
-    # k rows at most.
-    best = F.broadcast(
+    best = broadcast_top(
         _best(matches.where(F.col("confidence") >= min_conf), "confidence", k).select(
             "banked_id", "unbanked_id", "confidence"
-        )
+        ),
+        k,
     )
     edges = neighbours(trades).select("id", F.col("nbr").alias("partner_id"), "outgoing", F.col("amount").cast("double").alias("amount"))
     sides = best.select("*", F.explode(F.array(
@@ -200,7 +200,7 @@ def match_network(
     )).alias("end")).select("banked_id", "unbanked_id", "confidence", "end.side", "end.id")
     if outer:
         return sides.join(edges, "id", "left").drop("id")
-    shown = edges.join(F.broadcast(sides), "id").drop("id")
+    shown = edges.join(broadcast_top(sides, k), "id").drop("id")
     both = shown.groupBy("banked_id", "unbanked_id").agg(F.countDistinct("side").alias("n")).where("n = 2")
     return shown.join(both.drop("n"), ["banked_id", "unbanked_id"], "left_semi")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first
+from tradeweave.functions.columns import attach, broadcast_top, largest_first
 from tradeweave.operators.edges import neighbours
 
 
@@ -59,10 +59,10 @@ def deep_dive_rows(
     In this order the first n rows come from the first n entities, and from the
     first n products and edges of each, so only those are ever combined.
     """
-    found = F.broadcast(
-        _matching(entities, text).select("entity_id", "name", "sic_code").orderBy("entity_id").limit(n)
+    found = broadcast_top(
+        _matching(entities, text).select("entity_id", "name", "sic_code").orderBy("entity_id").limit(n), n
     )
-    ids = F.broadcast(found.select("entity_id"))
+    ids = broadcast_top(found.select("entity_id"), n)
 
     def first(rows: DataFrame, *order: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))

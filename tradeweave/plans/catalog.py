@@ -7,6 +7,7 @@ bank's data, would return nothing here.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def a4_read_accounts(g):
 @query
 def a5_read_transactions(g):
     read = files.read_transactions(g.spark, exports.transactions_csv(g.transactions), _read_accounts(g))
-    return read.accepted.drop("transaction_id").withColumns(_double("amount"))
+    return read.accepted.withColumns(_double("amount"))
 
 
 @query
@@ -112,6 +113,17 @@ def a7_check_unique(g):
     return maintenance.check_unique(g.entities, "name")
 
 
+@query
+def a7_check_unique_ids(g):
+    """How many values of each table's id occur more than once."""
+    tables = {"entity_id": g.entities, "account_id": g.accounts, "transaction_id": g.transactions, "product_id": g.products, "sic_code": g.industries}
+    counted = [
+        maintenance.check_unique(table, key).agg(F.lit(key).alias("key"), F.count(F.lit(1)).alias("repeated"))
+        for key, table in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def a8_upsert(g):
     current = g.entities.where(F.col("status") == "banked")

@@ -12,7 +12,7 @@ CHANNELS = ("EFT", "NAV", "SOF", "SWIFT")
 
 def _write(df: DataFrame, name: str) -> str:
     path = new_folder(df.sparkSession, name)
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -53,7 +53,7 @@ def accounts_csv(accounts: DataFrame) -> str:
 def transactions_csv(transactions: DataFrame) -> list[str]:
     """One folder per channel, all of one layout."""
     layout = transactions.select(
-        F.concat_ws("-", "channel", F.monotonically_increasing_id().cast("string")).alias("transactionId"),
+        _as("transaction_id", "transactionId"),
         _as("sender_account_id", "senderAccountId"), _as("receiver_account_id", "receiverAccountId"),
         "amount", "currency", "date", "channel", "reference",
     )

@@ -52,8 +52,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "products": (
         (),
         """
-        SELECT DISTINCT p_type || '-' || (p_size % 2) AS product_id,
-               upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || CASE WHEN p_size % 2 = 0 THEN ' plan' ELSE ' facility' END AS name,
+        SELECT DISTINCT p_type || '-' || substr(p_brand, 7) || '-' || (p_size % 2) AS product_id,
+               upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' ' || substr(p_brand, 7) || CASE WHEN p_size % 2 = 0 THEN ' plan' ELSE ' facility' END AS name,
                CASE p_type WHEN 'ECONOMY' THEN 'transact' WHEN 'STANDARD' THEN 'transact' WHEN 'PROMO' THEN 'lend'
                     WHEN 'SMALL' THEN 'lend' WHEN 'MEDIUM' THEN 'invest' ELSE 'insure' END AS pillar,
                CAST(length(p_type) * 25 AS DOUBLE) AS monthly_fee
@@ -63,7 +63,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "raw_payments": (
         ("sizes",),
         """
-        SELECT l_orderkey, l_partkey, o_custkey, l_quantity, l_returnflag,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS transaction_id,
+               l_orderkey, l_partkey, o_custkey, l_quantity, l_returnflag,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_shipdate AS DATE) AS date,
                CASE WHEN l_orderkey % 35 < 15 THEN 'EFT' WHEN l_orderkey % 35 < 25 THEN 'NAV'
                     WHEN l_orderkey % 35 < 33 THEN 'SOF' ELSE 'SWIFT' END AS channel,
@@ -87,7 +88,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("directed",),
         """
         SELECT CASE WHEN back THEN payee ELSE buyer END AS sender, CASE WHEN back THEN buyer ELSE payee END AS receiver,
-               l_orderkey, l_partkey, amount, date, channel, l_returnflag AS reference,
+               transaction_id, l_orderkey, l_partkey, amount, date, channel, l_returnflag AS reference,
                CASE WHEN channel <> 'SWIFT' THEN 'ZAR' ELSE ['ZAR','USD','EUR','GBP'][CAST(l_partkey % 4 AS INTEGER) + 1] END AS currency
         FROM directed
         """,
@@ -97,7 +98,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT sender * 4 + CASE WHEN sender % 2 = 1 THEN 0 ELSE l_orderkey % (1 + (sender // 2) % 3) END AS sender_account_id,
                receiver * 4 + CASE WHEN receiver % 2 = 1 THEN 0 ELSE l_partkey % (1 + (receiver // 2) % 3) END AS receiver_account_id,
-               sender, receiver, amount, currency, date, channel, reference
+               transaction_id, sender, receiver, amount, currency, date, channel, reference
         FROM payments
         """,
     ),
@@ -118,9 +119,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "holdings": (
         (),
         """
-        SELECT o_custkey * 2 AS entity_id, p_type || '-' || (p_size % 2) AS product_id, min(CAST(l_shipdate AS DATE)) AS since
+        SELECT o_custkey * 2 AS entity_id, p_type || '-' || substr(p_brand, 7) || '-' || (p_size % 2) AS product_id, min(CAST(l_shipdate AS DATE)) AS since
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY 1, 2
+        GROUP BY 1, 2
         """,
     ),
     "trades": (
@@ -494,7 +495,7 @@ ORACLES: dict[str, str] = {
         "SELECT CAST(account_id AS VARCHAR) AS account_id, CAST(entity_id AS VARCHAR) AS entity_id, account_type, open_date, balance FROM accounts", "accounts"
     ),
     "a5_read_transactions": sql(
-        "SELECT CAST(sender_account_id AS VARCHAR) AS sender_account_id, CAST(receiver_account_id AS VARCHAR) AS receiver_account_id, "
+        "SELECT transaction_id, CAST(sender_account_id AS VARCHAR) AS sender_account_id, CAST(receiver_account_id AS VARCHAR) AS receiver_account_id, "
         "CAST(amount AS DOUBLE) AS amount, currency, date, channel, reference FROM transactions",
         "transactions",
     ),
@@ -505,6 +506,13 @@ ORACLES: dict[str, str] = {
     ),
     "a6_read_holdings": sql("SELECT CAST(entity_id AS VARCHAR) AS entity_id, product_id, since FROM holdings", "holdings"),
     "a7_check_unique": sql("SELECT name, count(*) AS count FROM entities GROUP BY 1 HAVING count(*) > 1", "entities"),
+    "a7_check_unique_ids": sql(
+        " UNION ALL ".join(
+            f"SELECT '{key}' AS key, count(*) AS repeated FROM (SELECT {key} FROM {table} GROUP BY 1 HAVING count(*) > 1)"
+            for table, key in (("entities", "entity_id"), ("accounts", "account_id"), ("transactions", "transaction_id"), ("products", "product_id"), ("industries", "sic_code"))
+        ),
+        "entities", "accounts", "transactions", "products", "industries",
+    ),
     "a8_upsert": sql(
         "SELECT entity_id, upper(name) AS name, CASE WHEN status = 'banked' THEN region END AS region, segment, "
         "CASE WHEN status = 'banked' THEN status END AS status, coalesce(turnover, 0) + CAST(1 AS DOUBLE) AS turnover FROM entities",

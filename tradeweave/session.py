@@ -62,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     private = tempfile.mkdtemp(prefix="tradeweave-")
     atexit.register(shutil.rmtree, private, ignore_errors=True)

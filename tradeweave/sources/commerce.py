@@ -117,7 +117,7 @@ def industries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _product_id() -> Column:
-    return F.concat_ws("-", "p_type", (F.col("p_size") % 2).cast("string"))
+    return F.concat_ws("-", "p_type", F.substring("p_brand", 7, 9), (F.col("p_size") % 2).cast("string"))
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "part")
         .select(
             _product_id().alias("product_id"),
-            F.concat_ws(" ", F.initcap(kind), F.when(F.col("p_size") % 2 == 0, "plan").otherwise("facility")).alias("name"),
+            F.concat_ws(" ", F.initcap(kind), F.substring("p_brand", 7, 9), F.when(F.col("p_size") % 2 == 0, "plan").otherwise("facility")).alias("name"),
             pillar.alias("pillar"),
             (F.length(kind) * 25).cast("double").alias("monthly_fee"),
         )
@@ -141,7 +141,10 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """One payment per order line: 8 of lineitem's columns and 2 of orders' are read."""
+    """One payment per order line: 8 of lineitem's columns and 2 of orders' are read.
+
+    A payment is named by its order, line, part, supplier and day, so its id is the same in every run.
+    """
     n_customers = _table(spark, folder, "customer").count()
     n_suppliers = _table(spark, folder, "supplier").count()
     line = _table(spark, folder, "lineitem").select(
@@ -165,6 +168,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(banked_id(to_customer))
     )
     paid = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_shipdate").cast("date").cast("string")).alias("transaction_id"),
         "l_orderkey",
         "l_partkey",
         banked_id(F.col("o_custkey")).alias("buyer"),
@@ -185,6 +189,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(c) for c in SWIFT_CURRENCIES]), (F.col("l_partkey") % 4 + 1).cast("int")),
     ).otherwise("ZAR")
     return sent.select(
+        "transaction_id",
         _account("sender", "l_orderkey").alias("sender_account_id"),
         _account("receiver", "l_partkey").alias("receiver_account_id"),
         "amount",
@@ -230,12 +235,8 @@ def accounts(spark: SparkSession, folder: str, payments: DataFrame) -> DataFrame
 
 
 def holdings(spark: SparkSession, folder: str) -> DataFrame:
-    """Products a customer holds: those of the returned first lines of its orders."""
-    line = (
-        _table(spark, folder, "lineitem")
-        .where((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"))
-        .select("l_orderkey", "l_partkey", "l_shipdate")
-    )
+    """Products a customer holds: those of all its order lines."""
+    line = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     part = _table(spark, folder, "part").select("p_partkey", _product_id().alias("product_id"))
     return (

@@ -21,10 +21,12 @@ class Loaded(NamedTuple):
 
 
 def _csv(spark: SparkSession, path: str | Sequence[str], layout: str) -> DataFrame:
+    """A quote inside a quoted cell is doubled, and a backslash is an ordinary character."""
     paths = path if isinstance(path, str) else list(path)
     return (
         spark.read.schema(layout)
         .option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(paths)
