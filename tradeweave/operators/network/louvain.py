@@ -17,6 +17,7 @@ class Communities(NamedTuple):
     community_count: int
     modularity: float
     modularities: list[float]  # after each level
+    did_converge: bool  # no level ran out of rounds, and the last one merged nothing more
 
 
 def modularity(members: DataFrame, graph: Projection, weight: str = "amount") -> float:
@@ -40,14 +41,17 @@ class _Level(NamedTuple):
     state: DataFrame  # id, community
     quality: float
     moved: bool
+    settled: bool
 
 
 def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_degree: int, level: int) -> _Level:
     """Move nodes of one level between communities until modularity stops rising.
 
     In each round half of the nodes, drawn by a hash, may move to the neighbour
-    community with the best gain; the smallest id wins ties.  One job per round
-    yields both the moves and the modularity of the assignment before them.
+    community with the best gain, and in the next round the other half; the smallest
+    id wins ties.  One job per round yields both the moves and the modularity
+    of the assignment before them.  The level is settled when a sweep of two rounds
+    gains less than tol.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("loop"))
     spread = spread_edges(edges.where("src <> dst"), "dst", "src", F.col("weight"), hub_degree)
@@ -59,7 +63,8 @@ def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_deg
         .select("id", "strength", F.coalesce("loop", F.lit(0)).alias("loop"), "slots", F.col("id").alias("community")),
         "louvain",
     )
-    best_state, best_quality, moved, flat = state.select("id", "community"), None, False, 0
+    best_state, best_quality, moved, flat, settled = state.select("id", "community"), None, False, 0, False
+    swept = None
     for round_no in range(max_rounds + 1):
         totals = state.groupBy("community").agg(F.sum("strength").alias("tot"))
         labels = on_slots(
@@ -88,7 +93,7 @@ def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_deg
             F.sum(F.when(F.col("own"), F.col("link")).otherwise(0)).alias("own_link"),
             F.max(F.when(F.col("own"), F.col("gain"))).alias("own_gain"),
         )
-        active = F.pmod(F.xxhash64("id", F.lit(level), F.lit(round_no)), F.lit(2)) == 0
+        active = F.pmod(F.xxhash64("id", F.lit(level), F.lit(round_no // 2)), F.lit(2)) == round_no % 2
         better = -F.col("top.less") > F.coalesce("own_gain", F.col("stay_gain")) + 1e-9 * total
         judged = (
             state.join(chosen, "id", "left")
@@ -115,29 +120,31 @@ def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_deg
         )
         quality = per.agg(F.sum(F.col("inside") / total - (F.col("tot") / total) * (F.col("tot") / total))).first()[0]
         if best_quality is None or quality > best_quality:
-            flat = 0 if best_quality is None or quality - best_quality >= tol else flat + 1
             moved = moved or best_quality is not None
             best_state, best_quality = judged.select("id", "community"), quality
-        else:
-            flat += 1
-        if flat >= 2:
-            break
+        if round_no % 2 == 0:
+            flat = flat + 1 if swept is not None and best_quality - swept < tol else 0
+            swept = best_quality
+            if flat:
+                settled = True
+                break
         state = judged.select("id", "strength", "loop", "slots", F.col("next").alias("community"))
     spread.release()
-    return _Level(best_state, best_quality, moved)
+    return _Level(best_state, best_quality, moved, settled)
 
 
 def louvain(
     graph: Projection,
     weight: str = "amount",
-    max_levels: int = 10,
-    max_rounds: int = 10,
+    max_levels: int = 50,
+    max_rounds: int = 400,
     tol: float = 1e-4,
     hub_degree: int = HUB_DEGREE,
 ) -> Communities:
     """Settle nodes, merge each community into one node, and repeat while it helps.
 
-    A community is named by the id of one of its members.  Weights are summed as
+    Levels and rounds end by themselves; the two bounds only guard against endless runs and are
+    reported in ``did_converge``.  A community is named by the id of one of its members.  Weights are summed as
     decimals, so the outcome does not depend on the order of rows.
     """
     edges = write_table(
@@ -146,10 +153,14 @@ def louvain(
     total = edges.agg(F.sum("weight").cast("double")).first()[0]
     members = graph.nodes.select(F.col("id").alias("entity_id"), F.col("id").alias("community_id"))
     history: list[float] = []
+    converged = True
     if total:
+        converged, every = False, True
         for level in range(max_levels):
             settled = _settle(edges, total, max_rounds, tol, hub_degree, level)
+            every = every and settled.settled
             if not settled.moved or (history and settled.quality - history[-1] < tol):
+                converged = every
                 break
             history.append(settled.quality)
             step = settled.state.select(F.col("id").alias("community_id"), F.col("community").alias("merged"))
@@ -168,4 +179,4 @@ def louvain(
                 "louvain",
             )
     count = members.select("community_id").distinct().count()
-    return Communities(members, count, history[-1] if history else 0.0, history)
+    return Communities(members, count, history[-1] if history else 0.0, history, converged)
