@@ -121,9 +121,14 @@ def contaminated() -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Rows of docs, unchanged, of which under a twentieth of the words stand in test windows."""
+    """Rows of docs, unchanged, of which under a twentieth of the words stand in test windows.
+
+    The scan is written before rows are dropped: a filter right on it would make the optimizer
+    repeat the whole scan, with its set of windows, for every mention of the verdict.
+    """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return scan(docs, benchmark, [kept], n).where(~contaminated()).select("row.*")
+    scanned = write_table(scan(docs, benchmark, [kept], n).select("row", contaminated().alias("contaminated")), "scanned")
+    return scanned.where("NOT contaminated").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
