@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeweave.session import write_table
+
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -99,7 +101,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Rows of docs that pass, their texts without the lines that failed; other columns are unchanged."""
+    """Rows of docs that pass, their texts without the lines that failed; other columns are unchanged.
+
+    Verdicts are written before rows are dropped: a filter right on them would make the optimizer repeat
+    every expression for each mention of the verdict.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = measure(docs, [row]).where("kept")
+    judged = write_table(measure(docs, [row]).select("row", "kept", "good_lines"), "judged").where("kept")
     return judged.select(*[F.array_join("good_lines", "\n").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
