@@ -58,4 +58,45 @@ SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least, doc_id
 FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN component USING (c)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash": NEAR_COPIES, "op7_decontaminate": DECONTAMINATE}
+#: The first h turns of the block's first conversation, then a conversation's own; crc32 bit by bit.
+PREFIX_TRIE = rf"""
+WITH k AS (
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS g, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+o AS (SELECT conv_id, g, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS p FROM k),
+c AS (
+  SELECT conv_id, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))
+  ), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM k)
+),
+taken AS (
+  SELECT c.conv_id, p, g, w FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+  UNION ALL SELECT c.conv_id, p, g, w FROM c JOIN o ON o.conv_id = c.conv_id AND p > h
+),
+whole AS (
+  SELECT c.conv_id, coalesce(list(g ORDER BY p) FILTER (g IS NOT NULL), []) AS gs, list(w ORDER BY p) FILTER (g IS NOT NULL) AS ws
+  FROM c LEFT JOIN taken ON taken.conv_id = c.conv_id GROUP BY c.conv_id
+),
+pre AS (
+  SELECT conv_id, d, array_to_string(gs[1:d], '') AS path, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(gs) AS ends
+  FROM (SELECT *, unnest(range(0, len(gs) + 1)) AS d FROM whole)
+),
+node AS MATERIALIZED (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM pre GROUP BY path
+),
+kids AS MATERIALIZED (SELECT path[1:64 * (depth - 1)] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT above, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT path[1:64 * unnest(range(0, depth + 1))] AS above, (kids.n IS NULL)::INT AS leaf, saved FROM node LEFT JOIN kids USING (path))
+  GROUP BY above
+)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node LEFT JOIN kids USING (path) JOIN sums ON sums.above = node.path LEFT JOIN node up ON node.depth > 0 AND up.path = node.path[1:64 * (node.depth - 1)]
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash": NEAR_COPIES, "op7_decontaminate": DECONTAMINATE, "op12_prefix_trie": PREFIX_TRIE}

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries, and their SQL where SQL can say it."""
+"""The operators on training texts as registered queries, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, quality_conv, quality_rules, secrets, token_counts
+from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, prefix_trie, quality_conv, quality_rules, secrets, token_counts
 from tradeweave.llm.oracles import ORACLES as ORACLES  # registered with QUERIES
 
 
@@ -59,6 +59,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
     "op2_minhash": op2_minhash,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_efficiency": op8_token_efficiency,
     "op9_bpe": op9_bpe,
     "op10_line_rules": op10_line_rules,
+    "op12_prefix_trie": op12_prefix_trie,
 }
