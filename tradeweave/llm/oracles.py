@@ -99,4 +99,18 @@ SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coa
 FROM node LEFT JOIN kids USING (path) JOIN sums ON sums.above = node.path LEFT JOIN node up ON node.depth > 0 AND up.path = node.path[1:64 * (node.depth - 1)]
 """
 
-ORACLES: dict[str, str] = {"op2_minhash": NEAR_COPIES, "op7_decontaminate": DECONTAMINATE, "op12_prefix_trie": PREFIX_TRIE}
+#: Turns as the template spells them: 12 and 11 characters of control strings, a line end, and one backslash for each control string in a text.
+FORMAT_CHATS = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+t AS (SELECT *, sha256(length(role) || ':' || role || x) AS g FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, g)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, g) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(url_encode(role)) + length(x) + len(regexp_extract_all(x, '[<\[]\\*(?:\|im_start\|>|\|im_end\|>|/?s>|/?INST\])'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash": NEAR_COPIES, "op7_decontaminate": DECONTAMINATE, "op12_prefix_trie": PREFIX_TRIE, "op13_reply_trees": FORMAT_CHATS}

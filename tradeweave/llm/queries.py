@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, prefix_trie, quality_conv, quality_rules, secrets, token_counts
+from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, prefix_trie, quality_conv, quality_rules, reply_trees, secrets, token_counts
 from tradeweave.llm.oracles import ORACLES as ORACLES  # registered with QUERIES
 
 
@@ -63,6 +63,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return reply_trees.report(rows.unionByName(planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_conv": op1_quality_conv,
     "op2_minhash": op2_minhash,
@@ -75,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_line_rules": op10_line_rules,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_reply_trees": op13_reply_trees,
 }
