@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import bpe, decontaminate, katz, licenses, near_dedup, pii, prefix_trie, quality_conv, quality_rules, reply_trees, secrets, token_counts
+from tradeweave.llm import alignment, bpe, decontaminate, katz, licenses, near_dedup, pii, prefix_trie, quality_conv, quality_rules, reply_trees, secrets, token_counts
 from tradeweave.llm.oracles import ORACLES as ORACLES  # registered with QUERIES
 
 
@@ -59,6 +59,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_efficiency": op8_token_efficiency,
     "op9_bpe": op9_bpe,
     "op10_line_rules": op10_line_rules,
+    "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_reply_trees": op13_reply_trees,
 }
