@@ -42,7 +42,7 @@ def words(text: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item_id, size, hash, phrase): the windows of every item, each once an item."""
-    spelled = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    spelled = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
     last = F.greatest(F.size("w") - n + 1, F.lit(1))
     at = spelled.select("item_id", "w", F.explode(F.sequence(F.lit(1), last)).alias("i"))
     window = at.select("item_id", F.expr(f"slice(w, i, {n})").alias("window"))

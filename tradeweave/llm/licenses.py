@@ -9,15 +9,17 @@ Windows that meet a template in a band are verified: ``CONTAINED`` of the templa
 shingles, counted exactly, must stand in the window.
 
 Expressions on the row only; templates are a constant of fixed size.
-Windows without an anchor word are skipped: more than a fifth of each
-template's shingles hold one, so no passage that could be verified is lost.
+Texts and windows without an anchor word are skipped.  Anchors are words of the templates, chosen so
+that fewer shingles than are needed for a match hold none of them; no passage that could be verified is lost.
 
 Null and empty texts match nothing; repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,8 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
-ANCHORS = ("licen", "permission", "software", "redistribut", "permitted", "copyright")
+#: Words of at least so many letters are anchors first; shorter ones stand in most texts.
+LONG = 6
 #: What separates words once lower-cased.
 BETWEEN = r"[^\p{L}\p{N}]+"
 EMPTY = "cast(array() AS array<bigint>)"
@@ -59,6 +62,17 @@ def stride(n: int) -> int:
     return max(1, (n - WORDS + 2) // 2)
 
 
+def anchors(spelled: list[str]) -> list[str]:
+    """Words so that CONTAINED of the template's shingles cannot be had without one of them."""
+    distinct = {tuple(spelled[i : i + WORDS]) for i in range(max(1, len(spelled) - WORDS + 1))}
+    left, spare, chosen = [set(x) for x in distinct], math.ceil(CONTAINED * len(distinct)) - 1, []
+    while len(left) > spare:
+        counts = Counter(w for x in left for w in x)
+        chosen.append(max(counts, key=lambda w: (len(w) >= LONG, counts[w], len(w), w)))
+        left = [x for x in left if chosen[-1] not in x]
+    return chosen
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), lambda w: w != "")
 
@@ -93,23 +107,25 @@ def find(docs: DataFrame, keep: list[str | Column], text: str = "text", template
     by_size: dict[int, dict[str, str]] = {}
     for name, spelled in templates.items():
         by_size.setdefault(len(plain_words(spelled)), {})[name] = spelled
-    anchors = "|".join(ANCHORS)
+    by_size.pop(0, None)
+    needed = {size: sorted({a for spelled in group.values() for a in anchors(plain_words(spelled))}) for size, group in by_size.items()}
+    some = "|".join(sorted({re.escape(a) for group in needed.values() for a in group})) or "(?!)"
     source = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     # Most texts hold no anchor and are not split.
-    split = source.select("kept", F.when(F.col("t").rlike(f"(?i)(?:{anchors})"), words(F.col("t"))).otherwise(F.expr("cast(array() AS array<string>)")).alias("w"))
+    split = source.select("kept", F.when(F.lower("t").rlike(some), words(F.col("t"))).otherwise(F.expr("cast(array() AS array<string>)")).alias("w"))
     columns = [F.lit(None).cast("array<struct<license: string, at: int, share: double>>").alias("none")]
     for size, group in sorted(by_size.items()):
-        columns.append(_matches(size, group, anchors).alias(f"found_{size}"))
+        columns.append(_matches(size, group, needed[size]).alias(f"found_{size}"))
     found = split.select("kept", *columns)
     every = F.concat(*[F.coalesce(c, F.expr("cast(array() AS array<struct<license: string, at: int, share: double>>)")) for c in found.columns[1:]])
     return found.select("kept", every.alias("found")).select("kept.*", "found")
 
 
-def _matches(size: int, group: dict[str, str], anchors: str) -> Column:
+def _matches(size: int, group: dict[str, str], needed: list[str]) -> Column:
     table, step = _template_table(group), stride(size)
     length = size + step - 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(step))
-    anchored = F.filter(starts, lambda i: F.exists(F.slice("w", i, length), lambda x: x.rlike(anchors)))
+    anchored = F.filter(starts, lambda i: F.arrays_overlap(F.slice("w", i, length), F.array(*map(F.lit, needed))))
     windows = F.transform(anchored, lambda i: F.struct(i.alias("at"), shingles(F.slice("w", i, length)).alias("shingles")))
     keyed = F.transform(windows, lambda x: F.struct(x["at"].alias("at"), x["shingles"].alias("shingles"), bands(x["shingles"]).alias("bands")))
 

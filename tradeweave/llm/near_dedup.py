@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave.functions.columns import broadcast_if_small
@@ -86,7 +86,7 @@ def _signature(text: str) -> tuple:
         mixed = mix(mixed ^ column)
     low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
     packed = np.bitwise_or.reduce(low, axis=1)
-    return len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), mixed.view(np.int64).tolist(), packed.tobytes()
+    return len(found), _set_key(found), mixed.view(np.int64).tolist(), packed.tobytes()
 
 
 def signatures(docs: DataFrame, keep: list[str | Column]) -> DataFrame:
@@ -200,7 +200,7 @@ def _confirmed_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     def sets() -> Callable:
         def one(text: str) -> tuple:
             found = shingles(text)
-            return hashlib.blake2b(found.tobytes(), digest_size=16).digest(), found.view(np.int64).tolist()
+            return _set_key(found), found.view(np.int64).tolist()
 
         return lambda whole: [one(x) for x in whole]
 
@@ -216,8 +216,8 @@ def _confirmed_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     return per_group(tasks, "task", tie, "a binary, b binary")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs."""
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, written, and (set_key, component, keeper) of each class: its group's least id, and whether it stands for the group."""
     ship_package(docs.sparkSession)
     marked = write_table(signatures(docs, ["doc_id"]), "signatures")
     some = marked.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -228,9 +228,17 @@ def groups(docs: DataFrame) -> DataFrame:
     families = classes.select("set_key", "doc_id", "n_shingles").join(family.select(F.col("node").alias("set_key"), F.col("component").alias("family")), "set_key")
     linked = components(_confirmed_links(docs, families))
     named = linked.join(classes.select(F.col("set_key").alias("node"), "doc_id"), "node")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    moved = named.join(smallest, "component").select(F.col("node").alias("set_key"), "least")
-    found = classes.select("set_key", F.col("doc_id").alias("own")).join(moved, "set_key", "left").select("set_key", F.coalesce("least", "own").alias("component"))
+    smallest = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    moved = named.join(smallest, "component").select(F.col("node").alias("set_key"), F.col("least.doc_id").alias("least"), (F.col("node") == F.col("least.node")).alias("first"))
+    found = classes.select("set_key", F.col("doc_id").alias("own")).join(moved, "set_key", "left")
+    found = found.select("set_key", F.coalesce("least", "own").alias("component"), F.coalesce("first", F.lit(True)).alias("keeper"))
+    # Written, so that the join with a class of very many rows is one that adaptive execution splits.
+    return marked, write_table(found, "judged")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs."""
+    marked, found = _judged(docs)
     # Rows without shingles or id need no look-up.
     known = marked.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(found, "set_key")
     alone = marked.where("set_key IS NULL OR doc_id IS NULL").withColumn("component", F.col("doc_id"))
@@ -239,7 +247,32 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs, unchanged, that stand for their group or have no like."""
-    gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    gone = write_table(gone, "near-copies")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    """One row, unchanged, of each group, and the rows that have no like.
+
+    The row that stays is of the group's least id and, of that id's texts in the group, of the one
+    with the least digest; of rows that share both, the first by text and by all columns as JSON.
+    Rows without id or without words stay.  Ids that occur once are judged by id; only
+    rows of repeated ids are told apart by their texts.
+    """
+    marked, found = _judged(docs)
+    worded = marked.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(found, "set_key")
+    worded = worded.select("doc_id", "set_key", (F.col("keeper") & (F.col("doc_id") == F.col("component"))).alias("stays"))
+    empty = marked.where("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id", "set_key", F.lit(True).alias("stays"))
+    rows = write_table(worded.unionByName(empty), "near-copies")
+    by_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("some"), F.max(F.col("set_key").isNotNull()).alias("worded"))
+    decided = write_table(by_id.where("NOT some OR n > 1 AND worded").select(F.col("doc_id").alias("id"), F.col("some").alias("again")), "near-copy-ids")
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("whole text"))
+    single = packed.join(broadcast_if_small(decided), "id", "left_anti").select("row.*")
+    if decided.where("again").isEmpty():
+        return single
+    again = packed.join(broadcast_if_small(decided.where("again")), "id")
+    told = per_text(again, lambda: lambda texts: [(_set_key(shingles(x)),) for x in texts], "digest binary", ["row", "id"], "whole text")
+    keepers = rows.where("stays AND set_key IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("set_key").alias("digest")).distinct()
+    order = Window.partitionBy("id", "digest").orderBy("row.text", F.to_json("row"))
+    first = told.join(keepers, ["id", "digest"]).withColumn("place", F.row_number().over(order)).where("place = 1")
+    return single.unionByName(first.select("row.*")).unionByName(told.where("digest IS NULL").select("row.*"))
+
+
+def _set_key(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None

@@ -8,7 +8,7 @@ LETTER_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 
 DECONTAMINATE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {LETTER_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {LETTER_WORDS} AS w FROM benchmark),
+b AS (SELECT item_id, {LETTER_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
   FROM (SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)

@@ -12,6 +12,7 @@ and the graph is a few small tables made from it by grouped sums.  Rows with no
 candidate take no part in any shuffle.  Candidates are looked up by the set of
 patterns of a row, so copies of a row are one look-up.
 
+Context is the last two words on the match's line, however long they are.
 Null and empty texts have no spans.  Repeated rows are kept and judged alike.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.llm.spans import digest, matches, overwrite
+from tradeweave.llm.spans import digest, in_blocks, let, matches, merged, overwrite, touches
 from tradeweave.session import write_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,7 +38,9 @@ NEEDS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone":
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CANDIDATE = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++|\+?[0-9(](?:[\x20().-]{{0,2}}+[0-9])++|(?<![A-Za-z0-9])[A-Za-z]{{1,6}}[-_]?[0-9](?:[-_]?+[A-Za-z0-9])++"
 #: A pattern needs so many different seeds, and so large a share of reliable instances.
-LEAST_SEEDS, RELIABLE, ROUNDS = 3, 0.7, 3
+LEAST_SEEDS, RELIABLE = 3, 0.7
+#: Scoring ends when no pattern's score moves by more than this; scores only rise, so it does end.
+SETTLED = 1e-3
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -53,7 +56,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _patterns(before: Column) -> Column:
     """Lexical patterns ending in front of a match: its last two words, and a last word that ends in a colon, an equals sign or a number sign."""
-    line = F.lower(F.regexp_extract(before, r"([^\n]*)$", 1))
+    line = F.lower(before)
     two = F.regexp_extract(line, r"(?:^|\s)([^\s0-9]+)\s+([^\s0-9]+)\s*$", 1)
     last = F.regexp_extract(line, r"(?:^|\s)([^\s0-9]+)\s*$", 1)
     return F.filter(
@@ -105,15 +108,13 @@ def scan(docs: DataFrame, keep: list[str | Column], text: str = "text") -> DataF
         spans.append(F.transform(known, _as_span(i, kind)))
         seeds.append(F.transform(known, _as_seed(kind)))
     found = found.select("kept", F.array_sort(F.concat(*spans)).alias("base"), F.concat(*seeds).alias("seeds"), "others")
-    apart = F.filter(
-        F.coalesce("others", F.array()),
-        lambda m: (F.char_length(m["value"]) >= 5) & F.regexp_like(m["value"], F.lit("[0-9@]")) & ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])),
-    )
+    like = F.filter(F.coalesce("others", F.array()), lambda m: (F.char_length(m["value"]) >= 5) & F.regexp_like(m["value"], F.lit("[0-9@]")))
+    apart = let(let(merged(F.col("base")), in_blocks), lambda known: F.filter(like, lambda m: ~touches(known, m["start"], m["end"])))
     placed = F.transform(apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), _patterns(m["before"]).alias("patterns")))
     return found.select("kept", F.col("base").cast(SPAN), F.filter("seeds", lambda s: F.size(s["patterns"]) > 0).alias("seeds"), F.filter(placed, lambda m: F.size(m["patterns"]) > 0).alias("others"))
 
 
-def reliable_patterns(scanned: DataFrame, rounds: int = ROUNDS, least: int = LEAST_SEEDS, reliable: float = RELIABLE) -> DataFrame:
+def reliable_patterns(scanned: DataFrame, least: int = LEAST_SEEDS, reliable: float = RELIABLE, settled: float = SETTLED) -> DataFrame:
     """(pattern, kind, score): patterns whose instances are personal data, scored on the graph of patterns and instances.
 
     Each edge is one distinct (pattern, value), however many rows hold it, so
@@ -133,18 +134,20 @@ def reliable_patterns(scanned: DataFrame, rounds: int = ROUNDS, least: int = LEA
         "pattern-reach",
     )
     trust = F.when(F.col("seed") == 1, 1.0).when(F.col("known") == 1, 0.0)
-    scores = reach.groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.lit(0.0))).alias("score"))
-    for _ in range(rounds - 1):
+    scores = write_table(reach.groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.lit(0.0))).alias("score"), F.lit(1.0).cast("double").alias("moved")), "pattern-scores")
+    while (scores.agg(F.max("moved")).first()[0] or 0.0) > settled:
         # An unknown instance is as likely as at least one of its patterns being right.
         instance = (
             reach.where("known = 0").join(scores, ["pattern", "kind"]).groupBy("kind", "value")
             .agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.99)))))).alias("belief"))
         )
         scores = write_table(
-            reach.join(instance, ["kind", "value"], "left").groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.col("belief"), F.lit(0.0))).alias("score")),
+            reach.join(instance, ["kind", "value"], "left").groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.col("belief"), F.lit(0.0))).alias("score"))
+            .join(scores.select("pattern", "kind", F.col("score").alias("before")), ["pattern", "kind"])
+            .select("pattern", "kind", "score", (F.col("score") - F.col("before")).alias("moved")),
             "pattern-scores",
         )
-    return scores.where(F.col("score") >= reliable)
+    return scores.where(F.col("score") >= reliable).drop("moved")
 
 
 def find(docs: DataFrame, keep: list[str | Column], text: str = "text") -> DataFrame:

@@ -121,12 +121,12 @@ def screened(found: DataFrame, most_counters: int = COUNTERS) -> DataFrame:
 
     Digests stay only where they are needed: a proven tail below a proven tail has none.
     """
-    wanted = min(most_counters, max(PIECE_BITS, COUNTERS_EACH * found.count()))
+    wanted = max(2, min(most_counters, COUNTERS_EACH * found.count()))
     width = 1 << (wanted - 1).bit_length()
     counted = found.where("depth > 0").select(F.explode(F.array(*_counters("prefix", width))).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
     over = counted.where("n > 1").withColumn("piece", F.floor(F.col("counter") / PIECE_BITS))
     pieces = over.groupBy("piece").agg(F.bitmap_construct_agg(F.col("counter") % PIECE_BITS).alias("bits"))
-    bitmap = np.zeros(SKETCH_ROWS * width // 8, np.uint8)
+    bitmap = np.zeros(-(-SKETCH_ROWS * width // PIECE_BITS) * PIECE_BITS // 8, np.uint8)
     for row in pieces.toLocalIterator():  # SKETCH_ROWS * COUNTERS bits at most
         at = row["piece"] * PIECE_BITS // 8
         bitmap[at : at + PIECE_BITS // 8] = np.frombuffer(row["bits"], np.uint8)

@@ -36,8 +36,6 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)?(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)?)*\Z")
 CASE_CHANGE = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 LEAST_RATIO = 2.0
-#: Longer strings are weighed in pieces, so that time stays linear.
-PIECE = 256
 
 
 def default_vocabulary() -> str:
@@ -55,7 +53,7 @@ def _encoding(ranks: bytes):
 
 
 def chars_per_token(value: str, encoding) -> float:
-    return len(value) / sum(len(encoding.encode_ordinary(value[i : i + PIECE])) for i in range(0, len(value), PIECE))
+    return len(value) / len(encoding.encode_ordinary(value))
 
 
 def is_random(value: str, encoding, least: float = LEAST_RATIO) -> bool:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Matches whose starts are summed up in one go; keeps the work per row linear in practice.
 RUN = 200
-#: Characters kept of what stands before a match.
-BEFORE = 80
+#: Words kept of what stands before a match on its line.
+BEFORE = 2
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -49,12 +49,18 @@ def _summed(block: Column) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["value"])
-        match = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.substring(x["gap"], -BEFORE, BEFORE).alias("before"))
+        match = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), _last_words(x["gap"]).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["done"], F.array(match)).alias("done"))
 
     return F.aggregate(block, F.expr("named_struct('at', 0, 'done', cast(array() AS array<struct<start: int, end: int, value: string, before: string>>))"), add)
 
 
+def _last_words(gap: Column) -> Column:
+    """The last BEFORE words on the last line of a gap, each with one blank in front of the next."""
+    line = F.regexp_replace(F.rtrim(F.substring_index(gap, "\n", -1)), r"\s+", " ")
+    return F.substring_index(F.rtrim(line), " ", -BEFORE)
+
+
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -115,6 +121,23 @@ def merged(spans: Column) -> Column:
     return let(spans, lambda x: F.when(F.size(x) > 0, tied(x)).otherwise(F.expr(f"cast(array() AS array<{run}>)")))
 
 
+def in_blocks(runs: Column) -> Column:
+    """array<struct<start, end, runs>>: merged runs by RUN, so that ``touches`` looks into few of them."""
+
+    def block(b: Column) -> Column:
+        some = F.slice(runs, b * RUN + 1, RUN)
+        return F.struct(some[0]["start"].alias("start"), F.element_at(some, -1)["end"].alias("end"), some.alias("runs"))
+
+    none = F.expr("cast(array() AS array<struct<start: int, end: int, runs: array<struct<start: int, end: int, kind: string>>>>)")
+    return F.when(F.size(runs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / RUN).cast("int")), block)).otherwise(none)
+
+
+def touches(blocks: Column, start: Column, end: Column) -> Column:
+    """Whether start to end overlaps a run of the blocks."""
+    meets = lambda x: (x["start"] < end) & (start < x["end"])
+    return F.exists(blocks, lambda b: meets(b) & F.exists(b["runs"], meets))
+
+
 def overwrite(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the name of its first kind in brackets.
 
