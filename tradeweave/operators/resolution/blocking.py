@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from itertools import combinations
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, rounded
+from tradeweave.functions.columns import attach, broadcast_if_small, largest_first, rounded
 from tradeweave.functions.names import fuzzy_vocabulary
+from tradeweave.functions.prefixes import SLACK, may_reach, prefix_rows, ranked_members
+from tradeweave.session import write_table
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -62,67 +68,177 @@ def _equal_names(unbanked: DataFrame, banked: DataFrame, matches: DataFrame, pos
     return best.groupBy("phrase", "banked_id").agg(F.sum("weight").alias("score"))
 
 
-def block_candidates(
-    entities: DataFrame,
-    n_tokens: int = 2,
-    max_edits: int = 2,
-    min_score: float = 3.0,
-    strip: str = "()",
-) -> DataFrame:
-    """(unbanked_id, banked_id, block_score) of pairs whose score exceeds min_score, or whose whole names are equal.
+class _Hits(NamedTuple):
+    """What the words of names say, per distinct phrase of first words and not per entity."""
 
-    The score adds, over the first words of the unbanked name, the weight of the
-    best matching word of the banked name.  Work is done per distinct phrase of
-    first words, not per entity, and a word too common to pass on its own is only
-    ever joined together with the other word.
-    """
+    unbanked: DataFrame  # unbanked_id, phrase, plain, and attributes
+    banked: DataFrame  # banked_id, words, plain, and attributes
+    alone: list[DataFrame]  # phrase, word0, score: words that pass by themselves
+    both: DataFrame | None  # phrase, word0, word1, score: words that pass together
+    matches: DataFrame  # query, word, weight
+
+
+def _hits(entities: DataFrame, n_tokens: int, max_edits: int, min_score: float, strip: str, attributes: tuple[str, ...] = ()) -> _Hits:
     if n_tokens not in (1, 2):
         raise ValueError("blocking uses the first one or two words")
     banked = entities.where(F.col("status") == "banked").select(
-        F.col("entity_id").alias("banked_id"), _index_words(F.col("name")).alias("words"), _plain(F.col("name")).alias("plain")
+        F.col("entity_id").alias("banked_id"), _index_words(F.col("name")).alias("words"), _plain(F.col("name")).alias("plain"), *attributes
     )
     words = _query_words(F.col("name"), strip, n_tokens)
     unbanked = entities.where(F.col("status") == "unbanked").select(
-        F.col("entity_id").alias("unbanked_id"), words.alias("phrase"), _plain(F.col("name")).alias("plain")
+        F.col("entity_id").alias("unbanked_id"), words.alias("phrase"), _plain(F.col("name")).alias("plain"), *attributes
     )
     phrases = unbanked.select("phrase").distinct()
     queries = phrases.select(F.explode("phrase").alias("token")).where(F.col("token") != "").distinct()
-    matches = _word_matches(queries, banked, max_edits)
+    matches = write_table(_word_matches(queries, banked, max_edits), "block-matches")
 
     def place(i: int) -> DataFrame:
         return phrases.where(F.size("phrase") > i).select("phrase", F.col("phrase")[i].alias("query")).join(
             matches, "query"
         ).select("phrase", F.col("word").alias(f"word{i}"), F.col("weight").alias(f"weight{i}"))
 
-    postings = banked.select("banked_id", F.explode("words").alias("word"))
-    hits = []
-    for i in range(n_tokens):
-        alone = place(i).where(F.col(f"weight{i}") > min_score)
-        hits.append(
-            alone.join(postings.withColumnRenamed("word", f"word{i}"), f"word{i}").select(
-                "phrase", "banked_id", F.col(f"weight{i}").alias("score")
-            )
-        )
+    alone = [
+        place(i).where(F.col(f"weight{i}") > min_score).select("phrase", F.col(f"word{i}").alias("word0"), F.col(f"weight{i}").alias("score"))
+        for i in range(n_tokens)
+    ]
+    both = None
     if n_tokens == 2:
-        both = (
-            place(0).join(place(1), "phrase")
-            .withColumn("score", F.col("weight0") + F.col("weight1"))
-            .where(F.col("score") > min_score)
-        )
-        word_pairs = banked.select("banked_id", F.explode("words").alias("word0"), "words").select(
-            "banked_id", "word0", F.explode("words").alias("word1")
-        )
-        hits.append(both.join(word_pairs, ["word0", "word1"]).select("phrase", "banked_id", "score"))
-    hits.append(_equal_names(unbanked, banked, matches, postings))
+        both = place(0).join(place(1), "phrase").withColumn("score", F.col("weight0") + F.col("weight1")).where(F.col("score") > min_score).drop("weight0", "weight1")
+    return _Hits(unbanked, banked, alone, both, matches)
+
+
+def _word_pairs(banked: DataFrame, *keep: str) -> DataFrame:
+    return banked.select("banked_id", *keep, F.explode("words").alias("word0"), "words").select(
+        "banked_id", *keep, "word0", F.explode("words").alias("word1")
+    )
+
+
+def block_candidates(
+    entities: DataFrame,
+    n_tokens: int = 2,
+    max_edits: int = 2,
+    min_score: float = 3.0,
+    strip: str = "()",
+) -> DataFrame:
+    """(unbanked_id, banked_id, block_score) of pairs whose score exceeds min_score, or whose whole names are equal.
+
+    The score adds, over the first words of the unbanked name, the weight of the
+    best matching word of the banked name.  Work is done per distinct phrase of
+    first words, not per entity, and a word too common to pass on its own is only
+    ever joined together with the other word.
+    """
+    found = _hits(entities, n_tokens, max_edits, min_score, strip)
+    postings = found.banked.select("banked_id", F.explode("words").alias("word"))
+    hits = [
+        one.join(postings.withColumnRenamed("word", "word0"), "word0").select("phrase", "banked_id", "score") for one in found.alone
+    ]
+    if found.both is not None:
+        hits.append(found.both.join(_word_pairs(found.banked), ["word0", "word1"]).select("phrase", "banked_id", "score"))
+    hits.append(_equal_names(found.unbanked, found.banked, found.matches, postings))
     scored = hits[0]
     for more in hits[1:]:
         scored = scored.unionByName(more)
     best = scored.groupBy("phrase", "banked_id").agg(F.max("score").alias("score"))
-    return best.join(unbanked.select("unbanked_id", "phrase"), "phrase").select(
+    return best.join(found.unbanked.select("unbanked_id", "phrase"), "phrase").select(
         "unbanked_id", "banked_id", rounded(F.col("score"), 6).alias("block_score")
     )
 
 
+#: The attribute behind each signal that is all or nothing.
+ATTRIBUTES = {"industry_sim": "sic_code", "region_sim": "region"}
+
+
+def _least_support(weights: Mapping[str, float], min_conf: float) -> list[tuple[str, ...]]:
+    """Smallest sets of signals besides the name without which no name reaches the threshold."""
+    others = [s for s in weights if s != "name_sim"]
+    enough: list[tuple[str, ...]] = []
+    for n in range(len(others) + 1):
+        for some in combinations(others, n):
+            reach = weights["name_sim"] + sum(weights[s] for s in some)
+            if reach >= min_conf - SLACK and not any(set(e) <= set(some) for e in enough):
+                enough.append(some)
+    return enough
+
+
+def attainable_candidates(
+    entities: DataFrame,
+    partners: DataFrame,
+    weights: Mapping[str, float],
+    min_conf: float,
+    n_tokens: int = 2,
+    max_edits: int = 2,
+    min_score: float = 3.0,
+    strip: str = "()",
+) -> DataFrame:
+    """(unbanked_id, banked_id): the pairs of ``block_candidates`` that can reach a confidence, and no others are made.
+
+    A name alone does not reach the threshold, so a pair also shares an industry, a
+    region or enough partners.  The candidates are the union of joins on the
+    word together with each of these; the pairs that share no more than a word
+    are never put together.  ``partners`` are distinct undirected (id, nbr) pairs.
+    """
+    support = _least_support(weights, min_conf)
+    if () in support:
+        return block_candidates(entities, n_tokens, max_edits, min_score, strip).select("unbanked_id", "banked_id")
+    found = _hits(entities, n_tokens, max_edits, min_score, strip, tuple(ATTRIBUTES.values()))
+    found = found._replace(unbanked=write_table(found.unbanked, "block-unbanked"), banked=write_table(found.banked, "block-banked"))
+    alone = found.alone[0]
+    for more in found.alone[1:]:
+        alone = alone.unionByName(more)
+    alone = write_table(alone.select("phrase", "word0").distinct(), "block-words")
+    both = None if found.both is None else write_table(found.both.select("phrase", "word0", "word1").distinct(), "block-word-pairs")
+    # Equal names pass by the phrase that asks for them.
+    equal = found.unbanked.where("plain <> ''").select("phrase", "plain", F.explode("phrase").alias("query"))
+    equal = equal.join(found.matches.select("query", "word"), "query").where(F.array_contains(F.split("plain", " "), F.col("word"))).select("phrase", "plain").distinct()
+    equal = write_table(equal, "block-equal-names")
+    pairs = []
+    for signals in support:
+        keys = [ATTRIBUTES[s] for s in signals if s in ATTRIBUTES]
+        if "trading_sim" in signals:
+            left = min_conf - weights["name_sim"] - sum(weights[s] for s in signals if s in ATTRIBUTES)
+            pairs.append(_by_partners(found, alone, both, equal, partners, left / weights["trading_sim"], keys))
+        else:
+            pairs.append(_by_attributes(found, alone, both, equal, keys))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
+
+
+def _by_attributes(found: _Hits, alone: DataFrame, both: DataFrame | None, equal: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs that share the keys and words that pass."""
+    asked = found.unbanked.select("phrase", *keys).dropna().distinct()
+    postings = found.banked.select("banked_id", *keys, F.explode("words").alias("word0"))
+    met = [asked.join(alone, "phrase").join(postings, ["word0", *keys])]
+    if both is not None:
+        met.append(asked.join(both, "phrase").join(_word_pairs(found.banked, *keys), ["word0", "word1", *keys]))
+    met.append(asked.join(equal, "phrase").join(found.banked.select("banked_id", "plain", *keys), ["plain", *keys]))
+    every = met[0].select("phrase", "banked_id", *keys)
+    for more in met[1:]:
+        every = every.unionByName(more.select("phrase", "banked_id", *keys))
+    return every.distinct().join(found.unbanked.select("unbanked_id", "phrase", *keys), ["phrase", *keys]).select("unbanked_id", "banked_id")
+
+
+def _by_partners(found: _Hits, alone: DataFrame, both: DataFrame | None, equal: DataFrame, partners: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Pairs that share a word and a partner among the rarest of each, where sets at least this alike must meet."""
+    members = write_table(prefix_rows(ranked_members(partners), threshold), "block-partners")
+    mine = members.join(found.unbanked.select(F.col("unbanked_id").alias("id"), "phrase", *keys), "id")
+    theirs = members.select(F.col("id").alias("banked_id"), "nbr", F.col("place").alias("_place"), F.col("size").alias("_size"))
+    theirs = theirs.join(found.banked.select("banked_id", "words", "plain", *keys), "banked_id")
+    fits = may_reach(threshold, F.col("place"), F.col("size"), F.col("_place"), F.col("_size"))
+    # Words that no phrase asks for are dropped before they are joined.
+    asked = alone.select("word0") if both is None else alone.select("word0").unionByName(both.select("word0"))
+    by_word = theirs.withColumn("word0", F.explode("words")).join(broadcast_if_small(asked.distinct()), "word0", "left_semi")
+    met = [mine.join(alone, "phrase").join(by_word, ["nbr", "word0", *keys]).where(fits)]
+    if both is not None:
+        met.append(mine.join(both, "phrase").join(by_word, ["nbr", "word0", *keys]).where(fits & F.array_contains("words", F.col("word1"))))
+    met.append(mine.join(equal, "phrase").join(theirs, ["nbr", "plain", *keys]).where(fits))
+    every = met[0].select(F.col("id").alias("unbanked_id"), "banked_id")
+    for more in met[1:]:
+        every = every.unionByName(more.select(F.col("id").alias("unbanked_id"), "banked_id"))
+    return every.distinct()
+
+
 def block_candidates_preview(
     entities: DataFrame,
     n_tokens: int = 1,

@@ -114,6 +114,7 @@ def hidden_partners(
     min_conf: float = HIGH_CONFIDENCE,
     count_by: str = "entity",
     sample: int = 5,
+    partners: DataFrame | None = None,
 ) -> DataFrame:
     """Partners of the unbanked side that the banked side does not trade with.
 
@@ -121,7 +122,7 @@ def hidden_partners(
     is not its own partner.  Matches that reveal nobody stay, with a zero.
     """
     chosen = matches.where(F.col("confidence") >= min_conf).select("banked_id", "unbanked_id", "confidence")
-    partners = neighbour_pairs(trades)
+    partners = neighbour_pairs(trades) if partners is None else partners
     revealed = (
         chosen.select("banked_id", "unbanked_id")
         .join(partners.select(F.col("id").alias("unbanked_id"), "nbr"), "unbanked_id")

@@ -7,20 +7,21 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, deal_out, rounded
-from tradeweave.functions.names import jaro_winkler
-from tradeweave.operators.resolution.blocking import block_candidates
-from tradeweave.operators.resolution.signals import partner_counts, trading_overlap
+from tradeweave.functions.columns import attach, rounded
+from tradeweave.operators.edges import neighbour_pairs
+from tradeweave.operators.resolution.blocking import attainable_candidates
+from tradeweave.operators.resolution.signals import name_bound, partner_counts, score_names, trading_overlap
 from tradeweave.schema import MATCH_COLUMNS
+from tradeweave.session import write_table
 
 # Share of each signal in the confidence, and the least kept.
 WEIGHTS = {"name_sim": 0.40, "industry_sim": 0.20, "region_sim": 0.15, "trading_sim": 0.25}
 MIN_CONFIDENCE = 0.45
 
 
-def _confidence(weights: Mapping[str, float], trading: Column) -> Column:
+def _confidence(weights: Mapping[str, float], trading: Column, name: Column | None = None) -> Column:
     return (
-        F.lit(weights["name_sim"]) * F.col("name_sim")
+        F.lit(weights["name_sim"]) * (F.col("name_sim") if name is None else name)
         + F.lit(weights["industry_sim"]) * F.col("industry_sim")
         + F.lit(weights["region_sim"]) * F.col("region_sim")
         + F.lit(weights["trading_sim"]) * trading
@@ -47,18 +48,18 @@ def match_confidence(
     ).select(*MATCH_COLUMNS)
 
 
-def attribute_signals(pairs: DataFrame, entities: DataFrame, prefix_scale: str = "standard") -> DataFrame:
-    """Name, industry and region signals with one look-up per side."""
+def attribute_signals(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Industry and region signals and both names, with one look-up per side."""
     fields = {"name": "name", "sic_code": "sic", "region": "region"}
-    dealt = deal_out(pairs, "unbanked_id", "banked_id")
-    both = attach(dealt, entities, "unbanked_id", {k: f"_u_{v}" for k, v in fields.items()})
+    both = attach(pairs, entities, "unbanked_id", {k: f"_u_{v}" for k, v in fields.items()})
     both = attach(both, entities, "banked_id", {k: f"_b_{v}" for k, v in fields.items()})
     same = lambda f: F.when(F.col(f"_u_{f}") == F.col(f"_b_{f}"), 1.0).otherwise(0.0)
     return both.select(
         *pairs.columns,
         same("sic").alias("industry_sim"),
         same("region").alias("region_sim"),
-        jaro_winkler(F.lower("_u_name"), F.lower("_b_name"), prefix_scale).alias("name_sim"),
+        F.lower("_u_name").alias("_u_name"),
+        F.lower("_b_name").alias("_b_name"),
     )
 
 
@@ -69,32 +70,50 @@ def score_pairs(
     weights: Mapping[str, float] = WEIGHTS,
     min_conf: float | None = MIN_CONFIDENCE,
     prefix_scale: str = "standard",
+    partners: DataFrame | None = None,
 ) -> DataFrame:
     """All four signals and the confidence of given (banked_id, unbanked_id) pairs.
 
-    The overlap of two partner sets is at most the smaller size over the larger.
-    Pairs that would miss the threshold even then are dropped before their
-    partners are compared.
+    The overlap of two partner sets is at most the smaller size over the larger, and
+    names of different lengths are alike up to a bound.  Pairs that would miss
+    the threshold even at both bounds are dropped before names are compared,
+    and with the true name similarity again before partners are.
     """
-    scored = attribute_signals(pairs.select("banked_id", "unbanked_id"), entities, prefix_scale)
-    if min_conf is not None:
-        counts = partner_counts(trades)
-        bounded = scored
+    partners = neighbour_pairs(trades) if partners is None else partners
+    signals = attribute_signals(pairs.select("banked_id", "unbanked_id"), entities)
+    names = (F.col("_u_name"), F.col("_b_name"))
+    if min_conf is None:
+        scored = score_names(signals, *names, prefix_scale)
+    else:
+        counts = partner_counts(partners)
+        bounded = signals
         for side, name in (("unbanked_id", "_n_u"), ("banked_id", "_n_b")):
             bounded = bounded.join(
                 counts.select(F.col("id").alias(side), F.col("partners").alias(name)), side, "left"
             )
         most = F.greatest(F.coalesce("_n_u", F.lit(0)), F.coalesce("_n_b", F.lit(0))).cast("double")
         least = F.least(F.coalesce("_n_u", F.lit(0)), F.coalesce("_n_b", F.lit(0))).cast("double")
-        at_best = F.when(most > 0, least / most).otherwise(0.0)
+        bounded = bounded.withColumn("_at_best", F.when(most > 0, least / most).otherwise(0.0)).drop("_n_u", "_n_b")
         # The small allowance keeps rounding in the bound from dropping a pair.
-        scored = bounded.where(_confidence(weights, at_best) >= min_conf - 1e-9).drop("_n_u", "_n_b")
-    return match_confidence(trading_overlap(scored, trades), weights, min_conf)
+        attainable = _confidence(weights, F.col("_at_best"), name_bound(*names)) >= min_conf - 1e-9
+        scored = score_names(bounded.where(attainable), *names, prefix_scale)
+        scored = scored.where(_confidence(weights, F.col("_at_best")) >= min_conf - 1e-9).drop("_at_best")
+    scored = scored.drop("_u_name", "_b_name")
+    return match_confidence(trading_overlap(scored, trades, partners), weights, min_conf)
 
 
-def match_entities(entities: DataFrame, trades: DataFrame, **blocking) -> DataFrame:
-    """The whole pipeline: blocking, signals, confidence."""
-    return score_pairs(block_candidates(entities, **blocking), entities, trades)
+def match_entities(
+    entities: DataFrame,
+    trades: DataFrame,
+    weights: Mapping[str, float] = WEIGHTS,
+    min_conf: float = MIN_CONFIDENCE,
+    partners: DataFrame | None = None,
+    **blocking,
+) -> DataFrame:
+    """The whole pipeline: blocking by what can reach the threshold, signals, confidence."""
+    partners = neighbour_pairs(trades) if partners is None else partners
+    candidates = write_table(attainable_candidates(entities, partners, weights, min_conf, **blocking), "attainable")
+    return score_pairs(candidates, entities, trades, weights, min_conf, partners=partners)
 
 
 def score_named_pair(

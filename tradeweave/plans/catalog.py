@@ -401,13 +401,13 @@ def r5_region_match(g):
 
 @query
 def r6_trading_overlap(g):
-    rows = signals.trading_overlap(g.candidates.select("banked_id", "unbanked_id"), g.trades)
+    rows = signals.trading_overlap(g.candidates.select("banked_id", "unbanked_id"), g.trades, g.partner_pairs)
     return rows.withColumn("trading_sim", F.round(F.col("trading_sim").cast("decimal(28,8)"), 6).cast("double"))
 
 
 @query
 def r7_match_confidence(g):
-    return scoring.score_pairs(g.candidates, g.entities, g.trades)
+    return scoring.match_entities(g.entities, g.trades, partners=g.partner_pairs)
 
 
 @query
@@ -467,12 +467,12 @@ def r15_all_signals_agree(g):
 
 @query
 def r16_hidden_partners(g):
-    return match_reports.hidden_partners(g.matches, g.trades, g.entities)
+    return match_reports.hidden_partners(g.matches, g.trades, g.entities, partners=g.partner_pairs)
 
 
 @query
 def r16_hidden_partners_by_name(g):
-    return match_reports.hidden_partners(g.matches, g.trades, g.entities, count_by="name")
+    return match_reports.hidden_partners(g.matches, g.trades, g.entities, count_by="name", partners=g.partner_pairs)
 
 
 @query

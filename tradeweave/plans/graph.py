@@ -19,7 +19,7 @@ from tradeweave.operators.network.louvain import Communities, louvain
 from tradeweave.operators.network.pagerank import PageRank, pagerank
 from tradeweave.operators.network.projection import Projection, project_graph
 from tradeweave.operators.resolution.blocking import block_candidates
-from tradeweave.operators.resolution.scoring import score_pairs
+from tradeweave.operators.resolution.scoring import match_entities
 from tradeweave.session import write_table
 from tradeweave.sources import commerce
 
@@ -77,7 +77,7 @@ class PaymentGraph:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return write_table(score_pairs(self.candidates, self.entities, self.trades), "matches")
+        return write_table(match_entities(self.entities, self.trades, partners=self.partner_pairs), "matches")
 
     @cached_property
     def similar(self) -> DataFrame:
