@@ -18,7 +18,9 @@ empty groups_sha256.  Rows without id and repeated rows are answered like any ot
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.llm.arrow_map import per_text
-from tradeweave.llm.bpe import byte_letters
+from tradeweave.llm.bpe import SPLIT, byte_letters
 from tradeweave.session import write_table
 
 #: Pairs that are broadcast with their counts: 2 million rows of 17 bytes at most.
@@ -68,11 +70,28 @@ class Aligner:
         ids = range(self.second.get_piece_size())
         spell = lambda i: bytes([int(self.second.id_to_piece(i)[3:-1], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode()
         self.b = Spelling([spell(i) for i in ids], ";")
+        self.digits = [*self.a.digits, *self.b.digits]
+        self.ranks = self._by_rank(json.loads(definition))
+
+    def _by_rank(self, parsed: dict):
+        """The first tokenizer as a table of ranks, which encodes faster; None if its ids are not the order of its merges."""
+        import tiktoken
+
+        split, labels = parsed["pre_tokenizer"] or {}, self.a.labels
+        plain = parsed["normalizer"] is None and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        ids = {labels[i]: i for piece, i in parsed["model"]["vocab"].items() if self.first.id_to_token(i) == piece and not any(t["id"] == i for t in parsed["added_tokens"])}
+        letters = byte_letters()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in parsed["model"]["merges"]]
+        made = [ids.get(bytes(letters[c] for c in left + right)) for left, right in merges]
+        single = [ids.get(bytes([x])) for x in range(256)]
+        if not plain or None in made or None in single or [*sorted(single), *made] != list(range(len(ids))):
+            return None
+        return tiktoken.Encoding("by rank", pat_str=SPLIT, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each text; none where either does not spell the text."""
         spaced = [" " + x for x in texts]
-        first = [x.ids for x in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
+        first = [self.ranks.encode_ordinary(x) for x in spaced] if self.ranks else [self.first.encode(x, add_special_tokens=False).ids for x in spaced]
         second = self.second.encode(texts, num_threads=1)
         made = []
         for text, spelled, a, b in zip(texts, spaced, first, second):
@@ -87,41 +106,49 @@ class Aligner:
 
     def _align(self, ids: list[tuple[list[int], list[int]]]) -> list[tuple]:
         counts = np.array([(len(a), len(b)) for a, b in ids], np.int64).reshape(-1, 2)
-        a, b = (np.fromiter((x for pair in ids for x in pair[k]), np.int64, int(counts[:, k].sum())) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(pair[k] for pair in ids), np.int64, int(counts[:, k].sum())) for k in (0, 1))
         if not len(a):
             return [(0, 0, 0, 0, "", [], [])] * len(ids)
-        # Both spell the same bytes, so ends counted over all texts fit together.
-        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
-        groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        links = np.union1d(ends_a, ends_b)
-        text_ends = np.zeros(len(ids) + 1, np.int64)
-        text_ends[1:] = np.concatenate(([0], ends_a))[np.cumsum(counts[:, 0])]
-        cuts = lambda ends: np.searchsorted(ends, text_ends, "right")
-        group_cuts, link_cuts = cuts(groups), cuts(links)
-        spelled, spelled_cuts = self._spelled(a, b, ends_a, ends_b, groups), cuts(ends_a) + cuts(ends_b)
-        pair = a[np.searchsorted(ends_a, links)] * len(self.b.labels) + b[np.searchsorted(ends_b, links)]
-        of_text = np.repeat(np.arange(len(ids)), np.diff(link_cuts))
+        # Both spell the same bytes, so ends counted over all texts fit together.  Two rising runs are merged; an end of both stands twice.
+        ends = np.concatenate((np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])))
+        order = np.argsort(ends, kind="stable")
+        ends, of_b = ends[order], order >= len(a)
+        first = np.concatenate(([True], ends[1:] != ends[:-1]))
+        both = np.flatnonzero(~first)
+        links = np.flatnonzero(first)
+        # A link belongs to the tokens that end there or are still open.
+        before_b = np.cumsum(of_b) - of_b
+        pair = a[(np.arange(len(ends)) - before_b)[links]] * len(self.b.labels) + b[before_b[links]]
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[order[both - 1]] = True
+        last_b[order[both] - len(a)] = True
+        text_of = lambda side, n: np.repeat(np.arange(len(ids)), counts[:, side])[n]
+        group_cuts = np.concatenate(([0], np.cumsum(np.bincount(text_of(0, np.flatnonzero(last_a)), minlength=len(ids)))))
+        n_links = np.bincount(text_of(0, (np.arange(len(ends)) - before_b)[links]), minlength=len(ids))
+        spelled, spelled_cuts = self._spelled(a, b, last_a, last_b), np.concatenate(([0], np.cumsum(counts.sum(axis=1))))
         # Distinct pairs of each text, in order of text and pair.
-        order = np.lexsort((pair, of_text))
-        pair, of_text = pair[order], of_text[order]
-        new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (of_text[1:] != of_text[:-1]))))
-        times = np.diff(np.append(new, len(pair)))
-        pair, pair_cuts = pair[new], np.searchsorted(of_text[new], np.arange(len(ids) + 1))
+        size = len(self.a.labels) * len(self.b.labels)
+        key = np.repeat(np.arange(len(ids)), n_links) * size + pair
+        key.sort()
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        times = np.diff(np.append(new, len(key))).astype(np.int32)
+        of_text, pair = np.divmod(key[new], size)
+        pair_cuts = np.searchsorted(of_text, np.arange(len(ids) + 1))
         rows = []
         for i, (n_a, n_b) in enumerate(counts.tolist()):
             digest = hashlib.sha256("".join(spelled[spelled_cuts[i] : spelled_cuts[i + 1]])[:-1].encode()).hexdigest() if n_a else ""
             own = slice(pair_cuts[i], pair_cuts[i + 1])
-            rows.append((n_a, n_b, int(group_cuts[i + 1] - group_cuts[i]), int(link_cuts[i + 1] - link_cuts[i]), digest, pair[own], times[own].astype(np.int32)))
+            rows.append((n_a, n_b, int(group_cuts[i + 1] - group_cuts[i]), int(n_links[i]), digest, pair[own], times[own]))
         return rows
 
-    def _spelled(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, groups: np.ndarray) -> list[str]:
+    def _spelled(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
         """Each id's digits and separator, in order of group, the ids of A before those of B."""
-        group = np.concatenate((np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)))
-        side = np.repeat((0, 1), (len(a), len(b)))
-        last = np.concatenate((np.isin(ends_a, groups, assume_unique=True), np.isin(ends_b, groups, assume_unique=True)))
-        code = np.concatenate((a, b + len(self.a.labels))) * 2 + last
-        table = [*self.a.digits, *self.b.digits]
-        return list(map(table.__getitem__, code[np.lexsort((side, group))].tolist()))
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        held_a, held_b = np.cumsum(np.bincount(group_a)), np.concatenate(([0], np.cumsum(np.bincount(group_b))))
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + held_b[group_a]] = a * 2 + last_a
+        code[np.arange(len(b)) + held_a[group_b]] = (b + len(self.a.labels)) * 2 + last_b
+        return list(map(self.digits.__getitem__, code.tolist()))
 
 
 @lru_cache(maxsize=1)
