@@ -1,9 +1,10 @@
 """Exact handling of entities with very many partners.
 
 Enumerating all pairs of partners of one entity costs its degree squared.  The
-operators that need such pairs enumerate them only below a degree bound; above
-it they use the fact that two entities meet at a hub exactly when their hub sets
-overlap, and work with the distinct hub sets instead of the entities.
+operators that need such pairs enumerate them only below a degree bound.  Above
+it they use that what an entity meets through hubs depends only on which hubs it
+touches, and work with classes of entities that touch the same hubs.  A class is known
+by a digest of its hubs and spelled out as rows; no row holds a set of hubs or partners.
 """
 
 from __future__ import annotations
@@ -13,49 +14,50 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeweave.session import write_table
+
 HUB_DEGREE = 1_000
+#: What one bitmap row spans: the chunk of bitmap_construct_agg.
+CHUNK = 32_768
 
 
 class Hubs(NamedTuple):
-    ids: DataFrame  # hub
-    sets: DataFrame  # id, hub_set (sorted); only entities that touch a hub
-
-    def classes(self) -> DataFrame:
-        """Distinct hub sets and how many entities have each."""
-        return self.sets.groupBy("hub_set").agg(F.count(F.lit(1)).alias("members"))
+    ids: DataFrame  # hub, degree
+    touch: DataFrame  # id, hub
+    classes: DataFrame  # id, hub_class, hubs (how many); only entities that touch a hub
+    spelled: DataFrame  # hub_class, hub
 
     def reach(self) -> DataFrame:
-        """Per hub set, the entities that touch any of its hubs."""
-        classes = self.classes()
-        touched = classes.select("hub_set", "members", F.explode("hub_set").alias("hub"))
-        other = touched.select("hub", F.col("hub_set").alias("other_set"), "members")
-        return (
-            classes.select("hub_set", F.explode("hub_set").alias("hub"))
-            .join(other, "hub")
-            .select("hub_set", "other_set", "members")
-            .distinct()
-            .groupBy("hub_set")
-            .agg(F.sum("members").alias("reach"))
-        )
+        """(hub_class, reach): the distinct entities that touch any hub of a class.
+
+        A hub's entities are bits of chunks of 4 KB, numbered as they are stored, and a
+        class joins the chunks of its hubs bit by bit.  One hub alone reaches its degree.
+        """
+        numbered = write_table(self.touch.select("id").distinct().withColumn("at", F.monotonically_increasing_id()), "hub-numbers")
+        placed = self.touch.join(numbered, "id").withColumn("chunk", F.floor(F.col("at") / CHUNK))
+        bits = write_table(placed.groupBy("hub", "chunk").agg(F.bitmap_construct_agg(F.col("at") % CHUNK).alias("bits")), "hub-bits")
+        sizes = self.spelled.groupBy("hub_class").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("hub"))
+        alone = sizes.where("n = 1").join(self.ids, "hub").select("hub_class", F.col("degree").alias("reach"))
+        several = self.spelled.join(sizes.where("n > 1").select("hub_class"), "hub_class")
+        joined = several.join(bits, "hub").groupBy("hub_class", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+        counted = joined.groupBy("hub_class").agg(F.sum(F.bitmap_count("bits")).alias("reach"))
+        return alone.unionByName(counted)
 
 
 def split_hubs(pairs: DataFrame, hub_degree: int = HUB_DEGREE) -> Hubs | None:
     """Hubs among distinct undirected (id, nbr) pairs, or None if there are none.
 
-    At most 2 * edges / hub_degree entities can be hubs, which also bounds every
-    hub set.
+    At most 2 * edges / hub_degree entities can be hubs.  Equal sets of hubs are found by
+    their number and two digests that do not depend on order.
     """
-    ids = (
-        pairs.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("degree"))
-        .where(F.col("degree") > hub_degree)
-        .select(F.col("id").alias("hub"))
+    ids = write_table(
+        pairs.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub_degree).withColumnRenamed("id", "hub"), "hubs"
     )
     if ids.isEmpty():
         return None
-    sets = (
-        pairs.join(ids.withColumnRenamed("hub", "nbr"), "nbr", "left_semi")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list("nbr")).alias("hub_set"))
-    )
-    return Hubs(ids, sets)
+    touch = write_table(pairs.join(ids.select(F.col("hub").alias("nbr")), "nbr").select("id", F.col("nbr").alias("hub")), "hub-touch")
+    digest = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("hub")), F.bit_xor(F.xxhash64("hub", F.lit(1))))
+    classes = write_table(touch.groupBy("id").agg(digest.alias("hub_class"), F.count(F.lit(1)).alias("hubs")), "hub-classes")
+    first = classes.groupBy("hub_class").agg(F.min("id").alias("id"))
+    spelled = write_table(touch.join(first, "id").select("hub_class", "hub"), "hub-class-rows")
+    return Hubs(ids, touch, classes, spelled)

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradeweave.functions.hubs import HUB_DEGREE
 from tradeweave.operators.network.projection import Projection, on_slots, spread_edges
 from tradeweave.session import write_table
 
+#: A move must gain this share of all weight, so that rounding moves nobody.
+LEAST_GAIN = 1e-9
+
 
 class Communities(NamedTuple):
     members: DataFrame  # entity_id, community_id
     community_count: int
     modularity: float
     modularities: list[float]  # after each level
-    did_converge: bool  # no level ran out of rounds, and the last one merged nothing more
+    did_converge: bool  # the last level gained less than tol, rather than being the last one allowed
 
 
 def modularity(members: DataFrame, graph: Projection, weight: str = "amount") -> float:
@@ -25,126 +28,83 @@ def modularity(members: DataFrame, graph: Projection, weight: str = "amount") ->
     side = lambda end: members.select(F.col("entity_id").alias(end), F.col("community_id").alias(f"c_{end}"))
     edges = graph.edges.join(side("src"), "src").join(side("dst"), "dst")
     total = graph.edges.agg(F.sum(weight).cast("double").alias("t")).first()["t"]
-    if not total:
-        return 0.0
-    per = edges.groupBy("c_src").agg(
-        F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col(weight)).otherwise(0)).cast("double").alias("inside"),
-        F.sum(weight).cast("double").alias("all"),
+    return _quality(edges.groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum(weight).alias("weight")), total) if total else 0.0
+
+
+def _quality(merged: DataFrame, total: float) -> float:
+    """Modularity of communities whose edges, loops included, are merged."""
+    per = merged.groupBy("src").agg(
+        F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0)).cast("double").alias("inside"),
+        F.sum("weight").cast("double").alias("all"),
     )
-    value = per.agg(
-        F.sum(F.col("inside") / total - (F.col("all") / total) * (F.col("all") / total)).alias("q")
-    ).first()["q"]
-    return float(value)
+    return float(per.agg(F.sum(F.col("inside") / total - (F.col("all") / total) * (F.col("all") / total))).first()[0])
 
 
-class _Level(NamedTuple):
-    state: DataFrame  # id, community
-    quality: float
-    moved: bool
-    settled: bool
+def _coin(level: int, sweep: int) -> Column:
+    """0 or 1 by id, another one for each sweep; any engine with MD5 draws the same."""
+    return F.ascii(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(level), F.lit(sweep))), 1, 1)) % 2
 
 
-def _settle(edges: DataFrame, total: float, max_rounds: int, tol: float, hub_degree: int, level: int) -> _Level:
-    """Move nodes of one level between communities until modularity stops rising.
+def _settle(edges: DataFrame, total: float, sweeps: int, hub_degree: int, level: int) -> DataFrame:
+    """(id, community) after nodes of one level moved between communities for up to ``sweeps`` sweeps.
 
-    In each round half of the nodes, drawn by a hash, may move to the neighbour
-    community with the best gain, and in the next round the other half; the smallest
-    id wins ties.  One job per round yields both the moves and the modularity
-    of the assignment before them.  The level is settled when a sweep of two rounds
-    gains less than tol.
+    A sweep has two rounds: in the first, the nodes whose coin shows 0 may move to the neighbour
+    community with the best gain, in the second the others; the smallest id wins ties.
+    The level ends early when nobody moves in a sweep.  A community's total weight travels
+    along the edges with its name, so a round is one job: it sums the totals, sums the links of
+    the nodes whose turn it is, and writes who is where, counting the moves on the way.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("loop"))
     spread = spread_edges(edges.where("src <> dst"), "dst", "src", F.col("weight"), hub_degree)
     slots = spread.slots.withColumnRenamed("near", "id")
-    state = write_table(
-        edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("strength"))
-        .join(loops, "id", "left")
-        .join(slots, "id", "left")
-        .select("id", "strength", F.coalesce("loop", F.lit(0)).alias("loop"), "slots", F.col("id").alias("community")),
-        "louvain",
-    )
-    best_state, best_quality, moved, flat, settled = state.select("id", "community"), None, False, 0, False
-    swept = None
-    for round_no in range(max_rounds + 1):
+    strengths = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").cast("decimal(38,2)").alias("strength"))
+    state = write_table(strengths.join(slots, "id", "left").select("id", "strength", "slots", F.col("id").alias("community")), "louvain")
+    weigh = lambda c: F.col(c).cast("double")
+    moves = 0
+    for turn in range(2 * sweeps):
+        mine = _coin(level, turn // 2) == turn % 2
         totals = state.groupBy("community").agg(F.sum("strength").alias("tot"))
-        labels = on_slots(
-            state.where(F.col("slots").isNotNull()).select(F.col("id").alias("near"), "slots", "community")
-        )
+        known = state.join(totals, "community")
+        labels = on_slots(known.where(F.col("slots").isNotNull()).select(F.col("id").alias("near"), "slots", F.col("community").alias("target"), F.col("tot").alias("target_tot")))
         links = (
-            spread.edges.join(labels, ["near", "slot"])
-            .groupBy(F.col("far").alias("id"), F.col("community").alias("target"))
+            spread.edges.withColumnRenamed("far", "id").where(mine)
+            .join(labels, ["near", "slot"])
+            .groupBy("id", "target", "target_tot")
             .agg(F.sum("weight").alias("link"))
         )
-        # Own community first, so that a node without links into it can stay.
-        options = (
-            links.join(state.select("id", "strength", "community"), "id")
-            .join(totals.withColumnRenamed("community", "target").withColumnRenamed("tot", "target_tot"), "target")
-            .withColumn("own", F.col("target") == F.col("community"))
-            .withColumn(
-                "gain",
-                F.col("link").cast("double")
-                - F.col("strength").cast("double")
-                * (F.col("target_tot") - F.when(F.col("own"), F.col("strength")).otherwise(0)).cast("double")
-                / total,
-            )
-        )
-        chosen = options.groupBy("id").agg(
-            F.min(F.struct((-F.col("gain")).alias("less"), F.col("target"))).alias("top"),
-            F.sum(F.when(F.col("own"), F.col("link")).otherwise(0)).alias("own_link"),
-            F.max(F.when(F.col("own"), F.col("gain"))).alias("own_gain"),
-        )
-        active = F.pmod(F.xxhash64("id", F.lit(level), F.lit(round_no // 2)), F.lit(2)) == round_no % 2
-        better = -F.col("top.less") > F.coalesce("own_gain", F.col("stay_gain")) + 1e-9 * total
-        judged = (
-            state.join(chosen, "id", "left")
-            .join(totals, "community")
-            .withColumn(
-                "stay_gain",
-                -F.col("strength").cast("double") * (F.col("tot") - F.col("strength")).cast("double") / total,
-            )
-            .select(
-                "id",
-                "strength",
-                "loop",
-                "slots",
-                "community",
-                (F.coalesce("own_link", F.lit(0)) + F.col("loop")).alias("inside"),
-                F.when(F.col("top").isNotNull() & active & better, F.col("top.target"))
-                .otherwise(F.col("community"))
-                .alias("next"),
-            )
-        )
-        judged = write_table(judged, "louvain")
-        per = judged.groupBy("community").agg(
-            F.sum("inside").cast("double").alias("inside"), F.sum("strength").cast("double").alias("tot")
+        own = F.col("target") == F.col("community")
+        others = F.col("target_tot") - F.when(own, F.col("strength")).otherwise(0)
+        gain = weigh("link") - weigh("strength") * others.cast("double") / total
+        judged = links.join(known.where(mine).select("id", "strength", "community", "tot"), "id").withColumn("own", own).withColumn("gain", gain)
+        best = judged.groupBy("id", "community", "strength", "tot").agg(
+            F.min(F.struct((-F.col("gain")).alias("less"), F.col("target"))).alias("top"), F.max(F.when(F.col("own"), F.col("gain"))).alias("own_gain")
         )
-        quality = per.agg(F.sum(F.col("inside") / total - (F.col("tot") / total) * (F.col("tot") / total))).first()[0]
-        if best_quality is None or quality > best_quality:
-            moved = moved or best_quality is not None
-            best_state, best_quality = judged.select("id", "community"), quality
-        if round_no % 2 == 0:
-            flat = flat + 1 if swept is not None and best_quality - swept < tol else 0
-            swept = best_quality
-            if flat:
-                settled = True
+        # A node without links into its own community can still stay there.
+        stay = -weigh("strength") * (F.col("tot") - F.col("strength")).cast("double") / total
+        better = -F.col("top.less") > F.coalesce("own_gain", stay) + LEAST_GAIN * total
+        joined = best.where(better).select("id", F.col("top.target").alias("joined"))
+        seen = Observation()
+        placed = state.join(joined, "id", "left").observe(seen, F.count("joined").alias("moves"))
+        state = write_table(placed.select("id", "strength", "slots", F.coalesce("joined", "community").alias("community")), "louvain")
+        moves += seen.get["moves"]
+        if turn % 2:
+            if not moves:
                 break
-        state = judged.select("id", "strength", "loop", "slots", F.col("next").alias("community"))
+            moves = 0
     spread.release()
-    return _Level(best_state, best_quality, moved, settled)
+    return state.select("id", "community")
 
 
 def louvain(
     graph: Projection,
     weight: str = "amount",
-    max_levels: int = 50,
-    max_rounds: int = 400,
+    max_levels: int = 10,
+    max_sweeps: int = 15,
     tol: float = 1e-4,
     hub_degree: int = HUB_DEGREE,
 ) -> Communities:
-    """Settle nodes, merge each community into one node, and repeat while it helps.
+    """Settle nodes, merge each community into one node, and repeat while that gains at least tol.
 
-    Levels and rounds end by themselves; the two bounds only guard against endless runs and are
-    reported in ``did_converge``.  A community is named by the id of one of its members.  Weights are summed as
+    A community is named by the id of one of its members.  Weights are summed as
     decimals, so the outcome does not depend on the order of rows.
     """
     edges = write_table(
@@ -153,30 +113,30 @@ def louvain(
     total = edges.agg(F.sum("weight").cast("double")).first()[0]
     members = graph.nodes.select(F.col("id").alias("entity_id"), F.col("id").alias("community_id"))
     history: list[float] = []
-    converged = True
+    converged = not total
     if total:
-        converged, every = False, True
+        before = _quality(edges, total)
         for level in range(max_levels):
-            settled = _settle(edges, total, max_rounds, tol, hub_degree, level)
-            every = every and settled.settled
-            if not settled.moved or (history and settled.quality - history[-1] < tol):
-                converged = every
+            ends = _settle(edges, total, max_sweeps, hub_degree, level)
+            merged = write_table(
+                edges.join(ends.select(F.col("id").alias("src"), F.col("community").alias("c_src")), "src")
+                .join(ends.select(F.col("id").alias("dst"), F.col("community").alias("c_dst")), "dst")
+                .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
+                .agg(F.sum("weight").alias("weight")),
+                "louvain",
+            )
+            quality = _quality(merged, total)
+            if quality - before < tol:
+                converged = True
                 break
-            history.append(settled.quality)
-            step = settled.state.select(F.col("id").alias("community_id"), F.col("community").alias("merged"))
+            history.append(quality)
+            before, edges = quality, merged
+            step = ends.select(F.col("id").alias("community_id"), F.col("community").alias("merged"))
             members = write_table(
                 members.join(step, "community_id", "left").select(
                     "entity_id", F.coalesce("merged", "community_id").alias("community_id")
                 ),
                 "communities",
             )
-            ends = settled.state
-            edges = write_table(
-                edges.join(ends.select(F.col("id").alias("src"), F.col("community").alias("c_src")), "src")
-                .join(ends.select(F.col("id").alias("dst"), F.col("community").alias("c_dst")), "dst")
-                .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
-                .agg(F.sum("weight").alias("weight")),
-                "louvain",
-            )
     count = members.select("community_id").distinct().count()
     return Communities(members, count, history[-1] if history else 0.0, history, converged)

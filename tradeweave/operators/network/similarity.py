@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave.functions.hubs import HUB_DEGREE, Hubs, split_hubs
+from tradeweave.functions.prefixes import meeting_pairs, ranked
+from tradeweave.session import write_table
 
 
 def _jaccard(shared, left, right):
@@ -18,36 +20,30 @@ def node_similarity(
 ) -> DataFrame:
     """(src, dst, similarity): the top_k most similar entities of each, Jaccard >= cutoff.
 
-    ``pairs`` are distinct undirected (id, nbr) pairs.  Entities are paired only
-    through partners of at most hub_degree; see ``_through_hubs`` for the rest.
+    ``pairs`` are distinct undirected (id, nbr) pairs.  Entities meet at the rarest of their
+    partners, as many as a similar pair must have in common there; sizes travel
+    with the rows, so most pairs are dropped before they are counted, and only what is
+    left is compared in full.  They meet at partners of at most hub_degree
+    only; see ``_through_hubs`` for the rest.
     """
     sizes = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     hubs = split_hubs(pairs, hub_degree)
-    profile = sizes
-    usual = pairs
+    usual, profile = pairs, sizes.withColumn("spare", F.lit(0).cast("long"))
     if hubs is not None:
-        profile = sizes.join(hubs.sets, "id", "left")
-        usual = pairs.join(hubs.ids.withColumnRenamed("hub", "nbr"), "nbr", "left_anti")
-
-    side = lambda p: profile.select(*[F.col(c).alias(f"{p}_{c}") for c in profile.columns])
-    met = (
-        usual.withColumnRenamed("id", "a_id")
-        .join(usual.withColumnRenamed("id", "b_id"), "nbr")
-        .where(F.col("a_id") < F.col("b_id"))
-        .groupBy("a_id", "b_id")
+        usual = pairs.join(hubs.ids.select(F.col("hub").alias("nbr")), "nbr", "left_anti")
+        # Hubs in common can make up for other partners.
+        profile = sizes.join(hubs.classes.select("id", F.col("hubs").alias("spare")), "id", "left").fillna(0, ["spare"])
+    met = write_table(meeting_pairs(ranked(usual.withColumnRenamed("nbr", "item"), profile), cutoff), "similar-candidates")
+    shared = (
+        met.join(pairs.select(F.col("id").alias("a"), "nbr"), "a")
+        .join(pairs.select(F.col("id").alias("b"), "nbr"), ["b", "nbr"])
+        .groupBy("a", "b", "a_size", "b_size")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .join(side("a"), "a_id")
-        .join(side("b"), "b_id")
-    )
-    shared = F.col("shared")
-    if hubs is not None:
-        shared = shared + F.coalesce(F.size(F.array_intersect("a_hub_set", "b_hub_set")), F.lit(0))
-        shared = F.when(F.col("a_hub_set").isNull() | F.col("b_hub_set").isNull(), F.col("shared")).otherwise(shared)
-    similar = met.select("a_id", "b_id", _jaccard(shared, "a_size", "b_size").alias("similarity")).where(
-        F.col("similarity") >= cutoff
     )
-    both = similar.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "similarity").unionByName(
-        similar.select(F.col("b_id").alias("src"), F.col("a_id").alias("dst"), "similarity")
+    similar = shared.select("a", "b", _jaccard(F.col("shared"), "a_size", "b_size").alias("similarity")).where(F.col("similarity") >= cutoff)
+    similar = write_table(similar, "similar-pairs")
+    both = similar.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(
+        similar.select(F.col("b").alias("src"), F.col("a").alias("dst"), "similarity")
     )
     if hubs is not None:
         both = (
@@ -63,37 +59,43 @@ def _through_hubs(hubs: Hubs, sizes: DataFrame, cutoff: float, top_k: int) -> Da
     """Best partners by shared hubs alone, without pairing the entities of a hub.
 
     If two entities share nothing but hubs, their similarity depends only on
-    their classes (hub set, size).  It is thus worked out per pair of classes, and
+    their classes (hubs, size).  It is thus worked out per pair of classes, which
+    meet at the rarest of their hubs like entities do at other partners, and
     each class passes on its best top_k + 1 members (one may be the entity
     itself) in (similarity, id) order.  For pairs that share more than hubs the
     value is a lower bound, and their true value comes from the other branch.  A
     partner left out here is outranked by top_k others, so nothing is lost.
     """
     keep = top_k + 1
-    members = hubs.sets.join(sizes, "id")
-    in_class = F.row_number().over(Window.partitionBy("hub_set", "size").orderBy("id"))
-    first = members.withColumn("place", in_class).where(F.col("place") <= keep).drop("place")
-    classes = members.select("hub_set", "size").distinct()
-    exploded = classes.select("hub_set", "size", F.explode("hub_set").alias("hub"))
-    met = (
-        exploded.join(
-            exploded.select("hub", F.col("hub_set").alias("other_set"), F.col("size").alias("other_size")), "hub"
-        )
-        .groupBy("hub_set", "size", "other_set", "other_size")
+    kind = F.concat_ws(":", "size", "hub_class").alias("id")
+    members = write_table(hubs.classes.join(sizes, "id").select(F.col("id").alias("member"), "hub_class", "size", kind), "hub-members")
+    in_class = F.row_number().over(Window.partitionBy("id").orderBy("member"))
+    first = members.withColumn("place", in_class).where(F.col("place") <= keep).select(F.col("id").alias("other"), F.col("member").alias("dst"))
+    classes = members.select("id", "hub_class", "size").distinct()
+    spelled = write_table(classes.join(hubs.spelled, "hub_class").select("id", F.col("hub").alias("item")), "hub-kinds")
+    met = meeting_pairs(ranked(spelled, classes.select("id", "size", F.lit(0).cast("long").alias("spare"))), cutoff)
+    shared = (
+        met.join(spelled.withColumnRenamed("id", "a"), "a")
+        .join(spelled.withColumnRenamed("id", "b"), ["b", "item"])
+        .groupBy("a", "b", "a_size", "b_size")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .withColumn("similarity", _jaccard(F.col("shared"), "size", "other_size"))
+        .select("a", "b", _jaccard(F.col("shared"), "a_size", "b_size").alias("similarity"))
         .where(F.col("similarity") >= cutoff)
     )
-    offered = met.join(
-        first.select(F.col("hub_set").alias("other_set"), F.col("size").alias("other_size"), F.col("id").alias("dst")),
-        ["other_set", "other_size"],
-    )
-    rank = F.row_number().over(
-        Window.partitionBy("hub_set", "size").orderBy(F.col("similarity").desc(), "dst")
+    shared = write_table(shared, "hub-similar")
+    # A class also meets itself: all its hubs in common.
+    own = classes.join(spelled.groupBy("id").agg(F.count(F.lit(1)).alias("hubs")), "id")
+    own = own.select(F.col("id").alias("mine"), F.col("id").alias("other"), _jaccard(F.col("hubs"), "size", "size").alias("similarity")).where(F.col("similarity") >= cutoff)
+    every = (
+        shared.select(F.col("a").alias("mine"), F.col("b").alias("other"), "similarity")
+        .unionByName(shared.select(F.col("b").alias("mine"), F.col("a").alias("other"), "similarity"))
+        .unionByName(own)
     )
-    best = offered.withColumn("place", rank).where(F.col("place") <= keep)
+    rank = F.row_number().over(Window.partitionBy("mine").orderBy(F.col("similarity").desc(), "dst"))
+    best = every.join(first, "other").withColumn("place", rank).where(F.col("place") <= keep)
     return (
-        members.join(best.select("hub_set", "size", "dst", "similarity"), ["hub_set", "size"])
-        .where(F.col("id") != F.col("dst"))
-        .select(F.col("id").alias("src"), "dst", "similarity")
+        members.select(F.col("id").alias("mine"), F.col("member").alias("src"))
+        .join(best.select("mine", "dst", "similarity"), "mine")
+        .where(F.col("src") != F.col("dst"))
+        .select("src", "dst", "similarity")
     )

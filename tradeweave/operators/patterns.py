@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.functions.columns import attach, largest_first, ratio, rounded
+from tradeweave.functions.columns import attach, broadcast_if_small, largest_first, ratio, rounded
 from tradeweave.session import write_table
 
+#: Legs of one account above which it is set aside or spread, and the share of links that makes another round of pruning worth its job.
+BUSY = 10_000
+WORTH_PRUNING = 0.1
+
 
 def _with_owner(rows: DataFrame, accounts: DataFrame, entities: DataFrame, key: str, prefix: str) -> DataFrame:
     owners = accounts.select(F.col("account_id").alias(key), F.col("entity_id").alias(f"{prefix}_id"))
@@ -64,11 +68,12 @@ def _leg_table(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _follow(first: DataFrame, second: DataFrame, keys: list[str], max_days: int) -> DataFrame:
+def _follow(first: DataFrame, second: DataFrame, keys: list[str], max_days: int, slots: DataFrame | None = None) -> DataFrame:
     """Pairs of a payment and a later one within max_days, joined on keys and day bucket.
 
     A bucket spans max_days + 1 days, so the second payment lies in the bucket of
-    the first or in the next one; each first payment is offered to both.
+    the first or in the next one; each first payment is offered to both.  ``slots`` names busy middles:
+    their first payments are dealt out and their second ones copied to every slot.
     """
     width = max_days + 1
     day = F.unix_date("date")
@@ -77,8 +82,41 @@ def _follow(first: DataFrame, second: DataFrame, keys: list[str], max_days: int)
         *keys, *[c for c in second.columns if c not in (*keys, "date", "n", "amount")],
         F.col("date").alias("later"), F.col("n").alias("later_n"), F.floor(day / width).alias("bucket"),
     )
+    on = [*keys, "bucket"]
+    if slots is not None:
+        left = left.join(slots, "mid", "left").withColumn("slot", F.pmod(F.xxhash64("source", "date"), F.coalesce("slots", F.lit(1))).cast("int")).drop("slots")
+        right = right.join(slots, "mid", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+        on.append("slot")
     gap = F.datediff("later", "date")
-    return left.join(right, [*keys, "bucket"]).where((gap >= 0) & (gap <= max_days))
+    return left.join(right, on).where((gap >= 0) & (gap <= max_days))
+
+
+def _prune(legs: DataFrame, min_mids: int, worth: float = WORTH_PRUNING) -> tuple[DataFrame, DataFrame]:
+    """First and second legs that can belong to a route: (source, mid, ...) and (mid, dest, ...).
+
+    A source needs min_mids middles that lead somewhere, a destination as many that
+    are fed, and a middle a leg on either side.  What is dropped on one side can make
+    the other side fall short, so this is repeated on the distinct links while a round drops
+    at least the share ``worth`` of them; stopping early leaves legs that the join finds useless.
+    """
+    into = legs.select(F.col("payer").alias("source"), F.col("payee").alias("mid"), "date", "amount", "n")
+    out = legs.select(F.col("payer").alias("mid"), F.col("payee").alias("dest"), "date", "amount", "n")
+    first = write_table(into.select("source", "mid").distinct(), "first-links")
+    second = first.select(F.col("source").alias("mid"), F.col("mid").alias("dest"))
+    before, pruned = 2 * first.count(), False
+    while before:
+        sources = first.groupBy("source").agg(F.count(F.lit(1)).alias("mids")).where(F.col("mids") >= min_mids).select("source")
+        dests = second.groupBy("dest").agg(F.count(F.lit(1)).alias("mids")).where(F.col("mids") >= min_mids).select("dest")
+        kept_first = first.join(sources, "source", "left_semi").join(second.select("mid").distinct(), "mid", "left_semi")
+        kept_second = second.join(dests, "dest", "left_semi").join(first.select("mid").distinct(), "mid", "left_semi")
+        kept_first, kept_second = write_table(kept_first, "first-links"), write_table(kept_second, "second-links")
+        left = kept_first.count() + kept_second.count()
+        if before - left < worth * before:
+            break
+        first, second, before, pruned = kept_first, kept_second, left, True
+    if not pruned:
+        return into, out
+    return into.join(first, ["source", "mid"], "left_semi"), out.join(second, ["mid", "dest"], "left_semi")
 
 
 def layering_routes(
@@ -86,32 +124,33 @@ def layering_routes(
     max_days: int = 14,
     min_mids: int = 3,
     dedupe: bool = False,
+    busy: int = BUSY,
 ) -> DataFrame:
     """(source, destination) accounts linked through at least min_mids others.
 
     The first leg is counted once for every matching second leg unless ``dedupe``.
 
-    A route needs min_mids intermediaries, so it passes at least one account
-    outside any set of min_mids - 1 accounts.  The busiest accounts, whose
-    inflows times outflows would dominate the join, are therefore set aside:
-    routes are found through all other accounts and only then completed with the
-    part that runs through the ones set aside.
+    Legs that cannot belong to a route are dropped first.  A route needs min_mids
+    intermediaries, so it passes at least one account outside any set of min_mids - 1
+    accounts.  The busiest accounts, whose inflows times outflows would dominate the join, are
+    therefore set aside if they have more than ``busy`` legs: routes are found through all other accounts and
+    only then completed with the part that runs through the ones set aside.  Other
+    accounts with more than ``busy`` legs are spread over slots.
     """
     # Read several times below, so written once.
     legs = write_table(_leg_table(transactions), "legs")
-    into = legs.select(F.col("payer").alias("source"), F.col("payee").alias("mid"), "date", "amount", "n")
-    out = legs.select(F.col("payer").alias("mid"), F.col("payee").alias("dest"), "date", "amount", "n")
-
-    busiest = None
-    if min_mids > 1:
-        n_in = into.groupBy("mid").agg(F.count(F.lit(1)).alias("n_in"))
-        n_out = out.groupBy("mid").agg(F.count(F.lit(1)).alias("n_out"))
-        busiest = F.broadcast(
-            n_in.join(n_out, "mid")
-            .orderBy((F.col("n_in").cast("double") * F.col("n_out").cast("double")).desc(), "mid")
-            .limit(min_mids - 1)
-            .select("mid")
-        )
+    into, out = _prune(legs, min_mids)
+
+    load = into.select("mid", F.lit(1).alias("fed"), F.lit(0).alias("paid")).unionByName(out.select("mid", F.lit(0).alias("fed"), F.lit(1).alias("paid")))
+    load = load.groupBy("mid").agg(F.sum("fed").alias("fed"), F.sum("paid").alias("paid"))
+    # At most two legs in busy of all accounts.
+    heavy = write_table(load.where((F.col("fed") + F.col("paid") > busy) & (F.col("fed") > 0) & (F.col("paid") > 0)), "busy-accounts")
+    busiest, slots = None, None
+    if not heavy.isEmpty():
+        if min_mids > 1:
+            order = (F.col("fed").cast("double") * F.col("paid").cast("double")).desc()
+            busiest = F.broadcast(heavy.orderBy(order, "mid").limit(min_mids - 1).select("mid"))
+        slots = broadcast_if_small(heavy.select("mid", F.ceil(F.col("fed") / busy).cast("int").alias("slots")))
 
     def totals(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(F.col("source") != F.col("dest"))
@@ -132,13 +171,14 @@ def layering_routes(
         )
 
     if busiest is None:
-        found = merge(totals(_follow(into, out, ["mid"], max_days)))
+        found = merge(totals(_follow(into, out, ["mid"], max_days, slots)))
     else:
         usual = merge(
-            totals(_follow(into.join(busiest, "mid", "left_anti"), out.join(busiest, "mid", "left_anti"), ["mid"], max_days))
+            totals(_follow(into.join(busiest, "mid", "left_anti"), out.join(busiest, "mid", "left_anti"), ["mid"], max_days, slots))
         )
         # Each of the accounts set aside can add one intermediary at most, and a
         # route through fewer than one usual account cannot reach min_mids.
+        usual = write_table(usual, "usual-routes")
         open_routes = usual.select("source", "dest")
         through_busy = _follow(
             into.join(busiest, "mid", "left_semi").join(open_routes, "source"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.columns import attach, broadcast_if_small, largest_first, rounded
 from tradeweave.functions.names import fuzzy_vocabulary
-from tradeweave.functions.prefixes import SLACK, may_reach, prefix_rows, ranked_members
+from tradeweave.functions.prefixes import SLACK, early, enough, ranked
 from tradeweave.session import write_table
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -221,21 +221,22 @@ def _by_attributes(found: _Hits, alone: DataFrame, both: DataFrame | None, equal
 
 def _by_partners(found: _Hits, alone: DataFrame, both: DataFrame | None, equal: DataFrame, partners: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """Pairs that share a word and a partner among the rarest of each, where sets at least this alike must meet."""
-    members = write_table(prefix_rows(ranked_members(partners), threshold), "block-partners")
-    mine = members.join(found.unbanked.select(F.col("unbanked_id").alias("id"), "phrase", *keys), "id")
-    theirs = members.select(F.col("id").alias("banked_id"), "nbr", F.col("place").alias("_place"), F.col("size").alias("_size"))
-    theirs = theirs.join(found.banked.select("banked_id", "words", "plain", *keys), "banked_id")
-    fits = may_reach(threshold, F.col("place"), F.col("size"), F.col("_place"), F.col("_size"))
+    sizes = partners.groupBy("id").agg(F.count(F.lit(1)).alias("size")).withColumn("spare", F.lit(0).cast("long"))
+    members = write_table(early(ranked(partners.withColumnRenamed("nbr", "item"), sizes), threshold, 1), "block-partners")
+    side = lambda prefix, name: members.select("item", F.col("id").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("place", "held", "size", "spare")])
+    mine = side("a", "unbanked_id").join(found.unbanked.select("unbanked_id", "phrase", *keys), "unbanked_id")
+    theirs = side("b", "banked_id").join(found.banked.select("banked_id", "words", "plain", *keys), "banked_id")
+    fits, _ = enough(threshold, meetings=1)
     # Words that no phrase asks for are dropped before they are joined.
     asked = alone.select("word0") if both is None else alone.select("word0").unionByName(both.select("word0"))
     by_word = theirs.withColumn("word0", F.explode("words")).join(broadcast_if_small(asked.distinct()), "word0", "left_semi")
-    met = [mine.join(alone, "phrase").join(by_word, ["nbr", "word0", *keys]).where(fits)]
+    met = [mine.join(alone, "phrase").join(by_word, ["item", "word0", *keys]).where(fits)]
     if both is not None:
-        met.append(mine.join(both, "phrase").join(by_word, ["nbr", "word0", *keys]).where(fits & F.array_contains("words", F.col("word1"))))
-    met.append(mine.join(equal, "phrase").join(theirs, ["nbr", "plain", *keys]).where(fits))
-    every = met[0].select(F.col("id").alias("unbanked_id"), "banked_id")
+        met.append(mine.join(both, "phrase").join(by_word, ["item", "word0", *keys]).where(fits & F.array_contains("words", F.col("word1"))))
+    met.append(mine.join(equal, "phrase").join(theirs, ["item", "plain", *keys]).where(fits))
+    every = met[0].select("unbanked_id", "banked_id")
     for more in met[1:]:
-        every = every.unionByName(more.select(F.col("id").alias("unbanked_id"), "banked_id"))
+        every = every.unionByName(more.select("unbanked_id", "banked_id"))
     return every.distinct()
 
 

@@ -25,6 +25,8 @@ from tradeweave.operators import (
 )
 from tradeweave.operators.network import paths
 from tradeweave.operators.network import reports as network_reports
+from tradeweave.operators.network.betweenness import betweenness
+from tradeweave.operators.network.similarity import node_similarity
 from tradeweave.operators.resolution import blocking, scoring, signals
 from tradeweave.operators.resolution import reports as match_reports
 from tradeweave.plans import exports
@@ -342,7 +344,13 @@ def e1_ecosystem_paths_view(g):
 
 @query
 def e2_ecosystem_size(g):
-    return ecosystem.ecosystem_size(g.trades, g.entities)
+    return ecosystem.ecosystem_size(g.trades, g.entities, partners=g.partner_pairs)
+
+
+@query
+def e2_ecosystem_size_hubs(g):
+    """Most entities count as hubs, so most is counted through their bitmaps."""
+    return ecosystem.ecosystem_size(g.trades, g.entities, hub_degree=30, partners=g.partner_pairs)
 
 
 @query
@@ -607,9 +615,26 @@ def g3_betweenness(g):
     )
 
 
+@query
+def g3_betweenness_pivots(g):
+    """Estimated from a few sources, in batches."""
+    found = betweenness(g.projection.nodes, g.partner_pairs, sources=48, batches=3)
+    return found.select("entity_id", F.round(F.col("betweenness").cast("decimal(28,8)"), 2).cast("double").alias("betweenness"))
+
+
+def _similarity(found):
+    return found.withColumn("similarity", F.round(F.col("similarity").cast("decimal(28,8)"), 6).cast("double"))
+
+
 @query
 def g4_node_similarity(g):
-    return g.similar.withColumn("similarity", F.round(F.col("similarity").cast("decimal(28,8)"), 6).cast("double"))
+    return _similarity(g.similar)
+
+
+@query
+def g4_node_similarity_hubs(g):
+    """Most entities count as hubs, so most pairs are found through classes."""
+    return _similarity(node_similarity(g.partner_pairs, hub_degree=30))
 
 
 @query
@@ -657,6 +682,17 @@ def g11_similarity_distribution(g):
     return network_reports.score_distribution(g.similar, "similarity")
 
 
+@query
+def g11_betweenness_distribution(g):
+    return network_reports.score_distribution(g.betweenness, "betweenness", 2)
+
+
+@query
+def g11_modularities(g):
+    """Modularity after each level of the communities."""
+    return network_reports.level_qualities(g.spark, g.communities.modularities)
+
+
 # --- Laundering patterns ------------------------------------------------------
 
 
@@ -670,6 +706,11 @@ def m2_layering(g):
     return patterns.layering(g.transactions, g.accounts, g.entities, min_mids=2, n=None)
 
 
+@query
+def m2_layering_three(g):
+    return patterns.layering(g.transactions, g.accounts, g.entities, n=None)
+
+
 @query
 def m2_layering_dedupe(g):
     return patterns.layering(g.transactions, g.accounts, g.entities, min_mids=2, dedupe=True)

@@ -123,6 +123,8 @@ class PaymentGraph:
             "SENT": self.transactions.where(F.col("sender_account_id").isNotNull()),
             "RECEIVED_BY": self.transactions.where(F.col("receiver_account_id").isNotNull()),
             "TRADES_WITH": self.trades,
+            "POTENTIAL_MATCH": self.matches,
+            "SIMILAR_TO": self.similar,
         }
 
 

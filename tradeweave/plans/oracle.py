@@ -270,7 +270,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """,
     ),
     "counts": (
-        ("node_counts", "holdings", "trades"),
+        ("node_counts", "holdings", "trades", "matches", "alike"),
         """
         SELECT * FROM node_counts
         UNION ALL SELECT 'relationship', 'BELONGS_TO', count(sic_code) FROM entities
@@ -279,6 +279,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT 'relationship', 'SENT', count(*) FROM transactions
         UNION ALL SELECT 'relationship', 'RECEIVED_BY', count(*) FROM transactions
         UNION ALL SELECT 'relationship', 'TRADES_WITH', count(*) FROM trades
+        UNION ALL SELECT 'relationship', 'POTENTIAL_MATCH', count(*) FROM matches
+        UNION ALL SELECT 'relationship', 'SIMILAR_TO', count(*) FROM alike
         """,
     ),
 }
@@ -288,23 +290,90 @@ for _i in range(1, 21):
         f"SELECT p.id, (CAST(1 AS DOUBLE) - CAST(0.85 AS DOUBLE)) + CAST(0.85 AS DOUBLE) * coalesce(a.arrived, 0) AS rank FROM rank_{_i - 1} p "
         f"LEFT JOIN (SELECT dst, sum(q.rank * share) AS arrived FROM rank_{_i - 1} q JOIN shares ON q.id = src GROUP BY dst) a ON a.dst = p.id",
     )
-# Shortest paths out of every entity, one view per level, and dependencies back.
+# Shortest paths out of every entity, or out of a few, one view per level, and dependencies back.
 LEVELS = 6
-VIEWS["level_0"] = (("pairs", "entities"), "SELECT entity_id AS s, entity_id AS v, CAST(1 AS DOUBLE) AS paths FROM entities")
-for _i in range(1, LEVELS + 1):
-    _seen = f"SELECT s, v FROM level_{_i - 1}" + (f" UNION ALL SELECT s, v FROM level_{_i - 2}" if _i > 1 else "")
-    VIEWS[f"level_{_i}"] = (
-        (f"level_{_i - 1}",),
-        f"SELECT f.s, nbr AS v, sum(paths) AS paths FROM level_{_i - 1} f JOIN pairs ON id = f.v "
-        f"WHERE true GROUP BY 1, 2 HAVING (f.s, nbr) NOT IN ({_seen})",
+PIVOTS = 48
+
+
+def _walks(prefix: str, start: str) -> None:
+    VIEWS[f"{prefix}level_0"] = (("pairs", "entities"), f"SELECT entity_id AS s, entity_id AS v, CAST(1 AS DOUBLE) AS paths FROM {start}")
+    for i in range(1, LEVELS + 1):
+        seen = f"SELECT s, v FROM {prefix}level_{i - 1}" + (f" UNION ALL SELECT s, v FROM {prefix}level_{i - 2}" if i > 1 else "")
+        VIEWS[f"{prefix}level_{i}"] = (
+            (f"{prefix}level_{i - 1}",),
+            f"SELECT f.s, nbr AS v, sum(paths) AS paths FROM {prefix}level_{i - 1} f JOIN pairs ON id = f.v "
+            f"WHERE true GROUP BY 1, 2 HAVING (f.s, nbr) NOT IN ({seen})",
+        )
+    VIEWS[f"{prefix}flow_{LEVELS}"] = ((f"{prefix}level_{LEVELS}",), f"SELECT s, v, paths, CAST(0 AS DOUBLE) AS dependency FROM {prefix}level_{LEVELS}")
+    for i in range(LEVELS - 1, 0, -1):
+        VIEWS[f"{prefix}flow_{i}"] = (
+            (f"{prefix}flow_{i + 1}",),
+            f"SELECT l.s, l.v, l.paths, l.paths * coalesce(c.c, 0) AS dependency FROM {prefix}level_{i} l LEFT JOIN (SELECT s, nbr AS v, "
+            f"sum((CAST(1 AS DOUBLE) + dependency) / paths) AS c FROM {prefix}flow_{i + 1} JOIN pairs ON id = v GROUP BY 1, 2) c ON c.s = l.s AND c.v = l.v",
+        )
+    every = " UNION ALL ".join(f"SELECT v, dependency FROM {prefix}flow_{i}" for i in range(1, LEVELS + 1))
+    VIEWS[f"{prefix}between"] = (
+        (f"{prefix}flow_1",),
+        f"SELECT entity_id, coalesce(b, 0) / 2 AS betweenness FROM entities LEFT JOIN (SELECT v, sum(dependency) AS b FROM ({every}) GROUP BY v) ON v = entity_id",
     )
-VIEWS[f"flow_{LEVELS}"] = ((f"level_{LEVELS}",), f"SELECT s, v, paths, CAST(0 AS DOUBLE) AS dependency FROM level_{LEVELS}")
-for _i in range(LEVELS - 1, 0, -1):
-    VIEWS[f"flow_{_i}"] = (
-        (f"flow_{_i + 1}",),
-        f"SELECT l.s, l.v, l.paths, l.paths * coalesce(c.c, 0) AS dependency FROM level_{_i} l LEFT JOIN (SELECT s, nbr AS v, "
-        f"sum((CAST(1 AS DOUBLE) + dependency) / paths) AS c FROM flow_{_i + 1} JOIN pairs ON id = v GROUP BY 1, 2) c ON c.s = l.s AND c.v = l.v",
+
+
+_walks("", "entities")
+_walks("p_", f"(SELECT entity_id FROM entities ORDER BY md5(entity_id || ':0'), entity_id LIMIT {PIVOTS})")
+
+# Communities: a recursion over the rounds of each level, then its quality and whether the level is kept.
+SWEEPS, COMMUNITY_LEVELS, TOLERANCE = 15, 5, "CAST(0.0001 AS DOUBLE)"
+QUALITY = (
+    "(SELECT sum(inside / total - (a / total) * (a / total)) FROM (SELECT CAST(sum(CASE WHEN src = dst THEN weight ELSE 0 END) AS DOUBLE) AS inside, "
+    "CAST(sum(weight) AS DOUBLE) AS a FROM {edges} GROUP BY src) CROSS JOIN com_total)"
+)
+VIEWS["com_0_edges"] = (("neighbours",), "SELECT id AS src, nbr AS dst, sum(amount) AS weight FROM neighbours GROUP BY 1, 2 HAVING sum(amount) > 0")
+VIEWS["com_total"] = (("com_0_edges",), "SELECT CAST(sum(weight) AS DOUBLE) AS total FROM com_0_edges")
+VIEWS["com_0_quality"] = (("com_total",), f"SELECT {QUALITY.format(edges='com_0_edges')} AS q, true AS ok")
+VIEWS["com_0_members"] = (("entities",), "SELECT entity_id, entity_id AS community_id FROM entities")
+for _k in range(COMMUNITY_LEVELS):
+    VIEWS[f"com_{_k}_ends"] = (
+        (f"com_{_k}_edges", "com_total"),
+        f"""
+        WITH RECURSIVE s AS (
+          SELECT 0 AS turn, src AS id, sum(weight) AS strength, src AS community FROM com_{_k}_edges GROUP BY src
+          UNION ALL
+          SELECT turn + 1, n.id, strength, coalesce(joined, community)
+          FROM s n LEFT JOIN (
+            SELECT id, target AS joined FROM (
+              SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, target) AS place, max(CASE WHEN target = community THEN gain END) OVER (PARTITION BY id) AS own_gain
+              FROM (
+                SELECT n.id, n.community, n.strength, l.target, nt.tot, total,
+                       CAST(link AS DOUBLE) - CAST(n.strength AS DOUBLE) * CAST(lt.tot - CASE WHEN l.target = n.community THEN n.strength ELSE 0 END AS DOUBLE) / total AS gain
+                FROM (SELECT e.src AS id, o.community AS target, sum(weight) AS link FROM com_{_k}_edges e JOIN s o ON o.id = e.dst WHERE e.src <> e.dst GROUP BY 1, 2) l
+                JOIN s n ON n.id = l.id
+                JOIN (SELECT community, sum(strength) AS tot FROM s GROUP BY 1) lt ON lt.community = l.target
+                JOIN (SELECT community, sum(strength) AS tot FROM s GROUP BY 1) nt ON nt.community = n.community
+                CROSS JOIN com_total
+                WHERE ascii(md5(n.id || ':{_k}:' || (n.turn // 2))) % 2 = n.turn % 2
+              )
+            ) WHERE place = 1
+              AND gain > coalesce(own_gain, -CAST(strength AS DOUBLE) * CAST(tot - strength AS DOUBLE) / total) + CAST(0.000000001 AS DOUBLE) * total
+          ) m ON m.id = n.id
+          WHERE turn < {2 * SWEEPS}
+        )
+        SELECT id, community FROM s WHERE turn = {2 * SWEEPS}
+        """,
+    )
+    VIEWS[f"com_{_k + 1}_edges"] = (
+        (f"com_{_k}_ends",),
+        f"SELECT a.community AS src, b.community AS dst, sum(weight) AS weight FROM com_{_k}_edges JOIN com_{_k}_ends a ON a.id = src JOIN com_{_k}_ends b ON b.id = dst GROUP BY 1, 2",
     )
+    VIEWS[f"com_{_k + 1}_quality"] = (
+        (f"com_{_k + 1}_edges", f"com_{_k}_quality"),
+        f"SELECT x AS q, ok AND x - q >= {TOLERANCE} AS ok FROM (SELECT {QUALITY.format(edges=f'com_{_k + 1}_edges')} AS x) CROSS JOIN com_{_k}_quality",
+    )
+    VIEWS[f"com_{_k + 1}_members"] = (
+        (f"com_{_k}_members", f"com_{_k + 1}_quality"),
+        f"SELECT entity_id, CASE WHEN ok THEN coalesce(community, community_id) ELSE community_id END AS community_id "
+        f"FROM com_{_k}_members LEFT JOIN com_{_k}_ends ON id = community_id CROSS JOIN com_{_k + 1}_quality",
+    )
+VIEWS["communities"] = ((f"com_{COMMUNITY_LEVELS}_members",), f"SELECT * FROM com_{COMMUNITY_LEVELS}_members")
 
 
 def _collect(name: str, seen: dict[str, str]) -> None:
@@ -758,13 +827,38 @@ ORACLES: dict[str, str] = {
     "c6_concentrated_example": sql(_into_largest("payers <= 9 AND inflow > 100000"), "inflow"),
     "g0_project_graph": sql("SELECT id AS src, nbr AS dst, CAST(amount AS DOUBLE) AS amount, tx_count FROM neighbours", "neighbours"),
     "g1_pagerank": sql(f"SELECT id AS entity_id, {r('rank', 6)} AS page_rank FROM rank_20", "rank_20"),
-    "g3_betweenness": sql(
-        f"SELECT entity_id, {r('coalesce(b, 0) / 2', 2)} AS betweenness FROM entities LEFT JOIN (SELECT v, sum(dependency) AS b FROM ("
-        + " UNION ALL ".join(f"SELECT v, dependency FROM flow_{i}" for i in range(1, LEVELS + 1))
-        + ") GROUP BY v) ON v = entity_id",
-        "flow_1",
+    "g2_louvain": sql("SELECT * FROM communities", "communities"),
+    "g3_betweenness": sql(f"SELECT entity_id, {r('betweenness', 2)} AS betweenness FROM between", "between"),
+    "g3_betweenness_pivots": sql(
+        f"SELECT entity_id, {r(f'betweenness * (SELECT CAST(count(*) AS DOUBLE) FROM entities) / {PIVOTS}', 2)} AS betweenness FROM p_between", "p_between"
     ),
     "g4_node_similarity": sql(f"SELECT src, dst, {r('similarity', 6)} AS similarity FROM alike", "alike"),
+    "g4_node_similarity_hubs": sql(f"SELECT src, dst, {r('similarity', 6)} AS similarity FROM alike", "alike"),
+    "g5_communities_bridged": sql(
+        f"SELECT entity_id, name, status, own_community, connected_community, communities_bridged, {r('betweenness', 2)} AS betweenness FROM ("
+        "SELECT b.entity_id, community_id AS own_community, betweenness, spans AS communities_bridged FROM between b JOIN communities USING (entity_id) "
+        "JOIN (SELECT id, count(DISTINCT c.community_id) AS spans FROM neighbours JOIN communities c ON c.entity_id = nbr GROUP BY 1 HAVING count(DISTINCT c.community_id) >= 2) ON id = b.entity_id "
+        f"ORDER BY spans DESC, {r('betweenness', 2)} DESC, b.entity_id LIMIT 15) "
+        "JOIN (SELECT DISTINCT id AS entity_id, community_id AS connected_community FROM neighbours JOIN communities ON entity_id = nbr) USING (entity_id) JOIN entities USING (entity_id)",
+        "between", "communities", "neighbours",
+    ),
+    "g7_community_summary": sql(
+        "SELECT community_id, count(*) AS size, count(*) FILTER (status = 'banked') AS banked, count(*) FILTER (status = 'unbanked') AS unbanked, "
+        f"{r("CAST(count(*) FILTER (status = 'unbanked') * 100 AS DOUBLE) / CAST(count(*) AS DOUBLE)", 1)} AS unbanked_pct "
+        "FROM communities JOIN entities USING (entity_id) GROUP BY 1 ORDER BY size DESC, community_id LIMIT 15",
+        "communities",
+    ),
+    "g8_dominant_sector": sql(
+        "SELECT community_id, sector AS dominant_sector, n AS entity_count FROM (SELECT community_id, sector, count(*) AS n FROM communities JOIN entities USING (entity_id) "
+        "JOIN industries USING (sic_code) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY n DESC, sector) = 1 "
+        "ORDER BY n DESC, community_id LIMIT 15",
+        "communities", "industries",
+    ),
+    "g9_top_brokers": sql(
+        f"SELECT entity_id, name, status, community_id, {r('betweenness', 2)} AS betweenness, {r('rank', 6)} AS page_rank FROM between JOIN entities USING (entity_id) "
+        f"JOIN communities USING (entity_id) JOIN rank_20 ON rank_20.id = entity_id ORDER BY {r('betweenness', 2)} DESC, entity_id LIMIT 15",
+        "between", "communities", "rank_20",
+    ),
     "g6_top_pagerank": sql(
         f"SELECT entity_id, name, status, region, {r('rank', 6)} AS page_rank FROM rank_20 JOIN entities ON id = entity_id ORDER BY page_rank DESC, entity_id LIMIT 15", "rank_20"
     ),
@@ -790,6 +884,10 @@ ORACLES: dict[str, str] = {
         _layering(f"SELECT t1.s, t2.d, count(DISTINCT t1.d) AS intermediaries, sum(t1.amount) AS routed {LAYER_PAIRS} GROUP BY 1, 2 HAVING count(DISTINCT t1.d) >= 2"),
         "legs", "owners",
     ),
+    "m2_layering_three": sql(
+        _layering(f"SELECT t1.s, t2.d, count(DISTINCT t1.d) AS intermediaries, sum(t1.amount) AS routed {LAYER_PAIRS} GROUP BY 1, 2 HAVING count(DISTINCT t1.d) >= 3"),
+        "legs", "owners",
+    ),
     "m2_layering_dedupe": sql(
         _layering(
             "SELECT s, d, count(DISTINCT mid) AS intermediaries, sum(amount) AS routed FROM ("
@@ -833,8 +931,8 @@ ORACLES: dict[str, str] = {
 }
 
 
-def _distribution(view: str, col: str) -> str:
-    value = r(col, 6)
+def _distribution(view: str, col: str, digits: int = 6) -> str:
+    value = r(col, digits)
     shares = ", ".join(f"quantile_disc(value, {q}) AS {n}" for n, q in (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
     return sql(
         f"SELECT count(*) AS n, min(value) AS min, max(value) AS max, {r('avg(value)', 4)} AS mean, {shares} FROM (SELECT {value} AS value FROM {view})", view
@@ -842,4 +940,10 @@ def _distribution(view: str, col: str) -> str:
 
 
 ORACLES["g11_pagerank_distribution"] = _distribution("rank_20", "rank")
+ORACLES["g11_betweenness_distribution"] = _distribution("between", "betweenness", 2)
+ORACLES["g11_modularities"] = sql(
+    " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS level, {r('q', 6)} AS modularity FROM com_{k}_quality WHERE ok" for k in range(1, COMMUNITY_LEVELS + 1)),
+    f"com_{COMMUNITY_LEVELS}_quality",
+)
+ORACLES["e2_ecosystem_size_hubs"] = ORACLES["e2_ecosystem_size"]
 ORACLES["g11_similarity_distribution"] = _distribution("alike", "similarity")

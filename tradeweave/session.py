@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +92,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing_tables(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like ``write_table`` whose tables are deleted when the block ends."""
+    folder = new_folder(spark, name)
+
+    def write(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder, when it is done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _application_dir(spark))
