@@ -69,14 +69,14 @@ def brute_betweenness(sets, nodes):
     return score
 
 
-@pytest.mark.parametrize("edges, batches, hub_degree", [(GRAPHS[0], 1, 1000), (GRAPHS[2], 3, 4)])
+@pytest.mark.parametrize("edges, batches, hub_degree", [(GRAPHS[0], 1, 1000), (GRAPHS[2], 7, 4)])
 def test_betweenness(spark, edges, batches, hub_degree):
     want = brute_betweenness(partner_sets(edges), range(N + 1))
     nodes = entities(spark, {i: {} for i in range(N + 1)}).selectExpr("entity_id as id")
     pairs = neighbour_pairs(trades(spark, edges))
     found = {r.entity_id: r.betweenness for r in betweenness(nodes, pairs, batches=batches, hub_degree=hub_degree).collect()}
     assert found == pytest.approx(want)
-    sampled = betweenness(nodes, pairs, sources=N + 1, hub_degree=hub_degree)
+    sampled = betweenness(nodes, pairs, sources=N + 1, hub_degree=hub_degree, rows_alive=(N + 1) * 9)
     assert {r.entity_id: r.betweenness for r in sampled.collect()} == pytest.approx(want)
 
 
@@ -137,6 +137,22 @@ def test_louvain_finds_cliques(spark):
     assert modularity(result.members, graph) == pytest.approx(result.modularity)
 
 
+@pytest.mark.parametrize("hub_degree", [3, 1000])
+def test_louvain_communities_are_connected(spark, hub_degree):
+    edges = [(a, b, 10 + (a * 7 + b) % 50) for a, b in random_edges(60, 150, 5)]
+    found = {r.entity_id: r.community_id for r in louvain(project_graph(trades(spark, edges), entities(spark, {i: {} for i in range(60)})), hub_degree=hub_degree).members.collect()}
+    near = partner_sets(edges)
+    for name in set(found.values()):
+        members = {i for i, c in found.items() if c == name}
+        reached, queue = set(), [min(members)]
+        while queue:
+            at = queue.pop()
+            if at not in reached:
+                reached.add(at)
+                queue += near.get(at, set()) & members
+        assert reached == members
+
+
 def test_louvain_beats_singletons_and_repeats(spark):
     graph = project_graph(trades(spark, GRAPHS[0]), entities(spark, {i: {} for i in range(N)}))
     first, second = louvain(graph), louvain(graph)
@@ -150,6 +166,26 @@ def test_louvain_without_edges(spark):
     assert louvain(graph).community_count == 2
 
 
+@pytest.mark.parametrize("edges", GRAPHS)
+def test_shortest_paths_from_both_ends(spark, edges):
+    """Of the shortest paths the one whose nodes are smallest, going back from the end."""
+    sets = partner_sets(edges)
+    t, e = trades(spark, edges), entities(spark, {i: {} for i in range(N)})
+    for a, b in [(1, 2), (3, 20), (7, 15), (22, 4)]:
+        dist, queue = {a: 0}, deque([a])
+        while queue:
+            v = queue.popleft()
+            for w in sets.get(v, ()):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+        path = [b] if b in dist else []
+        while path and path[-1] != a:
+            path.append(min(w for w in sets[path[-1]] if dist[w] == dist[path[-1]] - 1))
+        found = shortest_path(t, e, a, b).orderBy("step").collect()
+        assert [r.entity_id for r in found] == path[::-1] and all(r.hops == len(path) - 1 for r in found)
+
+
 def test_shortest_path(spark):
     t = trades(spark, [(1, 3), (1, 2), (4, 2), (4, 3), (5, 4), (7, 8)])
     e = entities(spark, {i: {} for i in range(1, 9)})

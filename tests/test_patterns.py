@@ -21,9 +21,9 @@ def test_inflow_counts_once_per_matching_outflow(spark):
     assert patterns.layering_routes(tx, min_mids=1, dedupe=True).first().routed == 10
 
 
-@pytest.mark.parametrize("min_mids", [1, 2, 3])
+@pytest.mark.parametrize("min_mids, busy", [(1, 20), (2, 10_000), (2, 40), (3, 15)])
 @pytest.mark.parametrize("dedupe", [False, True])
-def test_layering_with_busy_accounts(spark, min_mids, dedupe):
+def test_layering_with_busy_accounts(spark, min_mids, dedupe, busy):
     """Most payments run through two accounts; nothing may be lost or counted twice."""
     pick = random.Random(min_mids)
     start = date(2024, 1, 1)
@@ -43,7 +43,7 @@ def test_layering_with_busy_accounts(spark, min_mids, dedupe):
                     total[s, d] += int(amount)
                 seen[s, d].add(i)
     want = sorted((s, d, len(m), total[s, d]) for (s, d), m in mids.items() if len(m) >= min_mids)
-    found = patterns.layering_routes(transactions(spark, payments), min_mids=min_mids, dedupe=dedupe)
+    found = patterns.layering_routes(transactions(spark, payments), min_mids=min_mids, dedupe=dedupe, busy=busy)
     assert rows(found, "source", "dest", "intermediaries", "routed") == want
 
 
@@ -54,3 +54,15 @@ def test_fan_out_drops_payments_to_the_same_account_only(spark):
     found = patterns.account_fan_out(tx, owners, people).first()
     assert (found.destinations, found.tx_count, found.total_sent, found.avg_per_destination) == (4, 5, 15.0, 3.75)
     assert patterns.account_fan_out(tx, owners, people, min_dests=5).count() == 0
+
+
+def test_pruning_keeps_what_routes_need(spark):
+    """A chain of accounts unravels from its end; the route through three middles stays whole."""
+    route = [(1, m, "10", "2024-03-10") for m in (2, 3, 4)] + [(m, 9, "1", "2024-03-11") for m in (2, 3, 4)]
+    chain = [(i, i + 1, "1", "2024-03-10") for i in range(20, 40)]
+    legs = patterns._leg_table(transactions(spark, route + chain))
+    first, second = patterns._prune(legs, 3)
+    assert rows(first, "source", "mid") == [(1, 2), (1, 3), (1, 4)] and rows(second, "mid", "dest") == [(2, 9), (3, 9), (4, 9)]
+    assert rows(patterns.layering_routes(transactions(spark, route + chain)), "source", "dest", "intermediaries") == [(1, 9, 3)]
+    assert patterns.layering_routes(transactions(spark, chain)).count() == 0
+    assert patterns.layering_routes(transactions(spark, chain).limit(0)).count() == 0

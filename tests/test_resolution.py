@@ -4,8 +4,10 @@ import random
 import duckdb
 import pytest
 from helpers import entities, partner_sets, random_edges, rows, trades
+from pyspark.sql import functions as F
 
 from tradeweave.functions.names import fuzzy_vocabulary, jaro_winkler_arrays
+from tradeweave.operators.edges import neighbour_pairs
 from tradeweave.operators.maintenance import delete_cascade, insert_if_absent, link_entities
 from tradeweave.operators.resolution import blocking, reports, scoring, signals
 from tradeweave.sources.files import inline_rows
@@ -209,3 +211,39 @@ def test_match_pruning_loses_nothing(spark):
     assert rows(kept, "banked_id", "unbanked_id", "confidence") == [
         r for r in rows(full, "banked_id", "unbanked_id", "confidence") if r[2] >= 0.45
     ]
+
+
+@pytest.mark.parametrize("weights, min_conf", [
+    (scoring.WEIGHTS, 0.45), (scoring.WEIGHTS, 0.3), (scoring.WEIGHTS, 0.7), (scoring.WEIGHTS, 0.9),
+    ({"name_sim": 0.2, "industry_sim": 0.1, "region_sim": 0.1, "trading_sim": 0.6}, 0.5),
+])
+def test_attainable_candidates_lose_no_match(spark, weights, min_conf):
+    """Whatever else a pair needs, matches are those of all name candidates, and no pair outside those is made."""
+    pick = random.Random(17)
+    words = random_words(5, 12, "pqrst", 8) + ["-", "A-B"]
+    name = lambda: " ".join(pick.sample(words, pick.choice([1, 2, 2, 3])))
+    make = lambda status: {"name": pick.choice([name(), name(), None]), "region": pick.choice(["X", "Y", "Z", None]), "sic_code": pick.choice([1, 2, 3, None]), "status": status}
+    table = entities(spark, {i: make("banked") for i in range(40)} | {100 + i: make("unbanked") for i in range(20)})
+    edges = trades(spark, [(a if a < 40 else a + 60, b if b < 40 else b + 60) for a, b in random_edges(60, 200, 19, hubs=(0, 45))])
+    every = blocking.block_candidates(table, min_score=0.1)
+    found = blocking.attainable_candidates(table, neighbour_pairs(edges), weights, min_conf, min_score=0.1)
+    assert set(rows(found, "unbanked_id", "banked_id")) <= set(rows(every, "unbanked_id", "banked_id"))
+    want = scoring.score_pairs(every, table, edges, weights, None)
+    columns = ("banked_id", "unbanked_id", "confidence", "name_sim", "trading_sim")
+    exact = {(r.banked_id, r.unbanked_id): sum(weights[k] * r[k] for k in weights) for r in want.collect() if r.name_sim is not None}
+    kept = [r for r in rows(want.where("name_sim IS NOT NULL"), *columns) if exact[r[0], r[1]] >= min_conf - 1e-3]
+    got = rows(scoring.match_entities(table, edges, weights, min_conf, min_score=0.1), *columns)
+    assert set(got) <= set(kept) and {r for r in kept if exact[r[0], r[1]] >= min_conf + 1e-3} <= set(got)
+
+
+def test_names_are_scored_once_and_bounded(spark):
+    pick = random.Random(23)
+    names = ["".join(pick.choice("abC ") for _ in range(pick.randrange(0, 9))) for _ in range(40)] + ["", "martha", "marhta", "abcdefgh"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names[::3]] + [(None, "x"), ("x", None)], "a string, b string")
+    scored = signals.score_names(pairs, F.col("a"), F.col("b")).withColumn("bound", signals.name_bound(F.col("a"), F.col("b"))).collect()
+    assert len(scored) == len(names) * len(names[::3]) + 2
+    for r in scored:
+        if r.a is None or r.b is None:
+            assert r.name_sim is None
+        else:
+            assert r.name_sim == pytest.approx(jaro_winkler_arrays([r.a], [r.b])[0]) and r.name_sim <= r.bound + 1e-9

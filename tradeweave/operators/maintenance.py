@@ -87,11 +87,6 @@ def delete_cascade(
     return entities.where(~doomed), kept_edges
 
 
-def rebuild_table(rows: DataFrame, path: str) -> None:
-    """Replace a derived table, as match edges are replaced before each run."""
-    rows.write.mode("overwrite").parquet(path)
-
-
 def write_back(entities: DataFrame, *scores: DataFrame) -> DataFrame:
     """Attach algorithm results, each keyed by entity_id, to the entities."""
     for score in scores:

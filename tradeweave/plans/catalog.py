@@ -22,6 +22,7 @@ from tradeweave.operators import (
     products,
     prospects,
     search,
+    stored,
 )
 from tradeweave.operators.network import paths
 from tradeweave.operators.network import reports as network_reports
@@ -31,9 +32,9 @@ from tradeweave.operators.resolution import blocking, scoring, signals
 from tradeweave.operators.resolution import reports as match_reports
 from tradeweave.plans import exports
 from tradeweave.plans.graph import PaymentGraph
-from tradeweave.session import new_folder
+from tradeweave.session import new_folder, write_table
 from tradeweave.sources import files
-from tradeweave.streaming.trades import current_trades, stream_trades
+from tradeweave.streaming.trades import compact, current_trades, stream_trades
 
 TARGET = 0
 PAIR = (0, 2)
@@ -137,6 +138,22 @@ def a8_upsert(g):
     )
 
 
+@query
+def a8_upsert_stored(g):
+    """The same change on a stored table in buckets, then a deletion and an insertion that put rows back."""
+    table = stored.StoredTable(g.spark, new_folder(g.spark, "stored"), "entity_id", buckets=8)
+    columns = ["entity_id", "name", "region", "segment", "status", "turnover"]
+    table.create(g.entities.where(F.col("status") == "banked").select(*columns))
+    updates = g.entities.select(
+        "entity_id", F.upper("name").alias("name"), (F.coalesce("turnover", F.lit(0.0)) + 1.0).alias("turnover")
+    )
+    table.upsert(updates, ["name", "turnover"])
+    some = write_table(table.read().where(F.col("entity_id") % 3 == 0), "put-aside")
+    table.delete(some.select("entity_id"))
+    table.insert_if_absent(some)
+    return table.read().select(*columns)
+
+
 @query
 def a9_accumulate_trades(g):
     cut = F.lit(CUT_DATE).cast("date")
@@ -176,8 +193,8 @@ def a12_delete_cascade(g):
 @query
 def a13_rebuild_matches(g):
     path = new_folder(g.spark, "rebuilt")
-    maintenance.rebuild_table(g.matches.limit(0), path)
-    maintenance.rebuild_table(g.matches, path)
+    stored.replace_folder(g.matches.limit(0), path)
+    stored.replace_folder(g.matches, path)
     return g.spark.read.schema(g.matches.schema).parquet(path)
 
 
@@ -778,3 +795,18 @@ def st1_stream_trades(g):
     totals = new_folder(g.spark, "totals")
     stream_trades(arriving, g.accounts, totals, new_folder(g.spark, "progress")).awaitTermination()
     return current_trades(g.spark, totals).withColumns(_double("amount"))
+
+
+@query
+def st1_stream_compacted(g):
+    """Half of the payments arrive, the batches are folded into a base, and the stream goes on."""
+    source, totals, progress = (new_folder(g.spark, name) for name in ("arriving", "totals", "progress"))
+    cut = F.lit(CUT_DATE).cast("date")
+    for half in (F.col("date") < cut, F.col("date") >= cut):
+        g.transactions.where(half).repartitionByRange(3, "date").write.mode("append").parquet(source)
+        arriving = (
+            g.spark.readStream.schema(g.transactions.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        )
+        stream_trades(arriving, g.accounts, totals, progress).awaitTermination()
+        compact(g.spark, totals)
+    return current_trades(g.spark, totals).withColumns(_double("amount"))

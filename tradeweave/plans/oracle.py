@@ -945,5 +945,7 @@ ORACLES["g11_modularities"] = sql(
     " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS level, {r('q', 6)} AS modularity FROM com_{k}_quality WHERE ok" for k in range(1, COMMUNITY_LEVELS + 1)),
     f"com_{COMMUNITY_LEVELS}_quality",
 )
+ORACLES["a8_upsert_stored"] = ORACLES["a8_upsert"]
 ORACLES["e2_ecosystem_size_hubs"] = ORACLES["e2_ecosystem_size"]
+ORACLES["st1_stream_compacted"] = ORACLES["st1_stream_trades"]
 ORACLES["g11_similarity_distribution"] = _distribution("alike", "similarity")

@@ -105,14 +105,38 @@ def passing_tables(spark: SparkSession, name: str) -> Iterator[Callable[[DataFra
     try:
         yield write
     finally:
-        _delete(spark, folder)
+        delete_folder(spark, folder)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _folder(spark: SparkSession, folder: str):
+    """The folder as a Hadoop path, and its file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if there is one, in whatever store its path names."""
+    path, store = _folder(spark, folder)
+    store.delete(path, True)
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path, store = _folder(spark, folder)
+    store.mkdirs(path)
+
+
+def rename_folder(spark: SparkSession, folder: str, target: str) -> None:
+    path, store = _folder(spark, folder)
+    if not store.rename(path, _folder(spark, target)[0]):
+        raise OSError(f"cannot rename {folder} to {target}")
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str] | None:
+    """Names of what is in a folder, or None if there is no such folder."""
+    path, store = _folder(spark, folder)
+    return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else None
 
 
 def remove_written(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder, when it is done."""
-    _delete(spark, _application_dir(spark))
+    delete_folder(spark, _application_dir(spark))
