@@ -39,7 +39,9 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CANDIDATE = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++|\+?[0-9(](?:[\x20().-]{{0,2}}+[0-9])++|(?<![A-Za-z0-9])[A-Za-z]{{1,6}}[-_]?[0-9](?:[-_]?+[A-Za-z0-9])++"
 #: A pattern needs so many different seeds, and so large a share of reliable instances.
 LEAST_SEEDS, RELIABLE = 3, 0.7
-#: Scoring ends when no pattern's score moves by more than this; scores only rise, so it does end.
+#: How much an instance counts that only other patterns vouch for; under 1, so scores settle and patterns cannot lift each other to certainty.
+HEARSAY = 0.5
+#: Scoring ends when no pattern's score moves by more than this.
 SETTLED = 1e-3
 
 
@@ -118,7 +120,8 @@ def reliable_patterns(scanned: DataFrame, least: int = LEAST_SEEDS, reliable: fl
     """(pattern, kind, score): patterns whose instances are personal data, scored on the graph of patterns and instances.
 
     Each edge is one distinct (pattern, value), however many rows hold it, so
-    copies do not vote.  A round takes two grouped sums over the edges; edges
+    copies do not vote.  An instance of the kind counts 1, one known as another kind 0, an unknown one HEARSAY times the
+    chance that at least one of its other patterns is right.  A round takes two grouped sums over the edges; edges
     are far fewer than words, because only number- and address-like strings are instances.
     """
     seeds = scanned.select(F.explode("seeds").alias("s")).select(F.explode("s.patterns").alias("pattern"), F.col("s.value").alias("value"), F.col("s.kind").alias("kind"))
@@ -136,15 +139,14 @@ def reliable_patterns(scanned: DataFrame, least: int = LEAST_SEEDS, reliable: fl
     trust = F.when(F.col("seed") == 1, 1.0).when(F.col("known") == 1, 0.0)
     scores = write_table(reach.groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.lit(0.0))).alias("score"), F.lit(1.0).cast("double").alias("moved")), "pattern-scores")
     while (scores.agg(F.max("moved")).first()[0] or 0.0) > settled:
-        # An unknown instance is as likely as at least one of its patterns being right.
-        instance = (
-            reach.where("known = 0").join(scores, ["pattern", "kind"]).groupBy("kind", "value")
-            .agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.99)))))).alias("belief"))
-        )
+        # What an unknown instance says about a pattern is what the other patterns that introduce it say.
+        voted = reach.join(scores.select("pattern", "kind", "score"), ["pattern", "kind"]).withColumn("doubt", F.log1p(-F.least("score", F.lit(0.99))))
+        instance = voted.where("known = 0").groupBy("kind", "value").agg(F.sum("doubt").alias("all_doubt"))
+        belief = HEARSAY * (1 - F.exp(F.col("all_doubt") - F.col("doubt")))
         scores = write_table(
-            reach.join(instance, ["kind", "value"], "left").groupBy("pattern", "kind").agg(F.avg(F.coalesce(trust, F.col("belief"), F.lit(0.0))).alias("score"))
-            .join(scores.select("pattern", "kind", F.col("score").alias("before")), ["pattern", "kind"])
-            .select("pattern", "kind", "score", (F.col("score") - F.col("before")).alias("moved")),
+            voted.join(instance, ["kind", "value"], "left")
+            .groupBy("pattern", "kind", "score").agg(F.avg(F.coalesce(trust, belief, F.lit(0.0))).alias("new"))
+            .select("pattern", "kind", F.col("new").alias("score"), F.abs(F.col("new") - F.col("score")).alias("moved")),
             "pattern-scores",
         )
     return scores.where(F.col("score") >= reliable).drop("moved")
