@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 
@@ -23,7 +24,7 @@ def samples(n=1500):
 
 def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    automaton = bpe.Automaton(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    automaton = bpe.Automaton(bpe.compiled(open(bpe.default_tokenizer(), encoding="utf-8").read()))
     words = bpe.WordTable(automaton)
     for x in [*samples(), *(t or "" for _, t in ROWS), "a" * 3000, "<|endoftext|>" * 3]:
         want = library.encode(x, add_special_tokens=False).ids
@@ -37,6 +38,29 @@ def test_bpe_equals_the_library(spark):
     assert bpe.round_trip(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_automaton_of_random_merges_equals_the_library(seed):
+    """Also with merges that other merges make unreachable, and pieces that overlap themselves."""
+    pick = random.Random(seed)
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    vocab, merges = {letters[b]: b for b in range(256)}, []
+    pieces = ["a", "b", "c"][: 1 + seed % 3]
+    while len(merges) < 25:
+        u, v = pick.choice(pieces), pick.choice(pieces)
+        if u + v not in vocab and len(u + v) <= 7:
+            vocab[u + v] = len(vocab)
+            pieces.append(u + v)
+            merges.append((u, v))
+        elif pick.random() < 0.01:
+            break
+    library = models.BPE(vocab, merges)
+    definition = json.dumps({"model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}, "added_tokens": []})
+    automaton = bpe.Automaton(bpe.compiled(definition))
+    for _ in range(400):
+        word = "".join(pick.choice("abc"[: 1 + seed % 3]) for _ in range(pick.randrange(1, 25)))
+        assert list(automaton.encode_word(word.encode())) == [t.id for t in library.tokenize(word)], (merges, word)
+
+
 def test_bpe_general_interface_keeps_columns(spark):
     docs = documents(spark)
     back = bpe.decode(bpe.encode(docs))

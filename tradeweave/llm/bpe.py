@@ -1,32 +1,36 @@
 """BPE encoding and decoding with a tokenization automaton (operator 9).
 
-Compiling.  The merges are taken in order, and each adds one gadget to an
-automaton over tokens that starts with one arc per byte.  The gadget of merge k,
-(u, v) -> x, takes the arc v away from every state entered by a token that still
-ends in u when merge k is applied, and adds the arc x.  A token "still ends in u" until a
-merge inside it consumes that u; the same holds for what a token begins with.
-So a state is its *right profile* (the pieces the last token ends in, each
-with the merge that consumes it), an arc is its *left profile*, and the arc is
-present unless some gadget blocks the two profiles.  This factored form has
-one short profile per token instead of a row of arcs per state, so the whole
-automaton is bounded by the tokenizer and is broadcast.
-
-Encoding.  A pre-split word is read from left to right by following arcs; at
-each position the longest present arc that can be completed is the one in the
-only accepting path, because BPE output is unique and is decided by adjacent
-pairs.  Dead ends are marked and never entered again, so a word takes a number
-of steps linear in its length.  Decoding emits the labels of the arcs taken.
+Compiling.  The automaton reads tokens; being in the state of a token means that it
+was read last.  It starts with an arc for each byte between all states.  The merges are taken in order, and each adds a
+gadget: merge k, (u, v) -> x, takes the arc v away from every state whose token still ends in u when
+merge k is applied, also where v only begins the arc's token, and adds the arc x, unless an earlier gadget already
+took the arc v from the state u, so that x can never be read.  A token ends in u until a merge inside
+it consumes that u; the same holds for what it begins with.  States and arcs that no
+gadget tells apart are one row and one column of the table from the start, and equal rows and columns are
+merged at the end.  What is left is a table of one bit for each state and arc: whether the arc is there; it leads to
+the state of its token.  The table's size is that of the tokenizer, and it is broadcast.
+
+Encoding.  Every prefix of a pre-split word is read by exactly one path, because BPE output is unique
+and is decided by adjacent pairs.  A second automaton names the tokens that end at each byte; for the one of them whose
+arc leaves the state at its start, its state is the state at that byte.  So a word is read from left
+to right, each byte gets one state, and nothing is tried again.  Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
+from typing import NamedTuple
 
+import ahocorasick
+import numpy as np
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,77 +50,127 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+class Table(NamedTuple):
+    """The compiled automaton."""
+
+    labels: dict[int, bytes]  # of every id, special tokens too
+    special: dict[str, int]
+    tokens: list[int]  # the arcs: ids that can be read
+    entered: np.ndarray  # by place in tokens: the state an arc leads to
+    column: np.ndarray  # by place in tokens: the arc's column
+    absent: bytes  # a bit for each state and column: whether gadgets took the arc away
+    stride: int  # bytes of a row; the last row is the start, which has every arc
+
+
+def _gadgets(merges: list[tuple[int, int, int]], single: list[int]) -> tuple[dict, dict, dict]:
+    """Merges that act, by (u, v), and for each readable token the pieces it begins and ends in, with the merge that consumes each."""
+    gadgets: dict[tuple[int, int], int] = {}
+    begins = {i: ((i, NEVER),) for i in single}
+    ends = dict(begins)
+    for k, (u, v, x) in enumerate(merges):
+        if u not in ends or v not in begins:
+            continue
+        # Of two merges of the same rank the one further left comes first.
+        earlier = (gadgets.get((a, b), NEVER) for a, left in ends[u] for b, right in begins[v] if gadgets.get((a, b), NEVER) < left and gadgets.get((a, b), NEVER) <= right)
+        blocked = min(earlier, default=NEVER) < k
+        gadgets.setdefault((u, v), k)
+        if not blocked and x not in begins:
+            begins[x] = ((x, NEVER), (u, k), *begins[u][1:])
+            ends[x] = ((x, NEVER), (v, k), *ends[v][1:])
+    return gadgets, begins, ends
+
+
+def _classes(profiles: dict[int, tuple], ranks: dict[int, list[int]], cut: Callable) -> tuple[dict[int, int], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Class of each token by how many gadgets of each piece reach it, and for each piece its classes in order of that number."""
+    numbers: dict[tuple, int] = {}
+    of_token = {}
+    for token, profile in profiles.items():
+        key = tuple((piece, n) for piece, consumed in profile if (n := cut(ranks.get(piece, ()), consumed)))
+        of_token[token] = numbers.setdefault(key, len(numbers))
+    by_piece: dict[int, list] = {}
+    for key, number in numbers.items():
+        for piece, n in key:
+            by_piece.setdefault(piece, []).append((n, number))
+    return of_token, {piece: tuple(np.array(sorted(found)).T) for piece, found in by_piece.items()}
+
+
+@lru_cache(maxsize=2)
+def compiled(definition: str) -> Table:
+    """The automaton of one byte-level BPE tokenizer file's content."""
+    parsed = json.loads(definition)
+    letters = byte_letters()
+    spell = lambda piece: bytes(letters[c] for c in piece)
+    ids = {spell(piece): i for piece, i in parsed["model"]["vocab"].items() if all(c in letters for c in piece)}
+    labels = {i: label for label, i in ids.items()}
+    special = {token["content"]: token["id"] for token in parsed["added_tokens"]}
+    for content, i in special.items():
+        labels[i] = content.encode()
+        if ids.get(content.encode()) == i:
+            del ids[content.encode()]
+    pairs = [[spell(x) for x in (pair.split(" ") if isinstance(pair, str) else pair)] for pair in parsed["model"]["merges"]]
+    merges = [(ids[u], ids[v], ids[u + v]) for u, v in pairs]
+    gadgets, begins, ends = _gadgets(merges, [i for label, i in ids.items() if len(label) == 1])
+
+    of_left: dict[int, list[int]] = {}
+    of_right: dict[int, list[int]] = {}
+    for (u, v), k in gadgets.items():  # in order of k
+        of_left.setdefault(u, []).append(k)
+        of_right.setdefault(v, []).append(k)
+    state, states_of = _classes(ends, of_left, bisect_left)
+    column, columns_of = _classes(begins, of_right, bisect_right)
+    absent = np.zeros((max(state.values(), default=0) + 1, max(column.values(), default=0) + 1), bool)
+    for (u, v), k in gadgets.items():
+        n, rows = states_of[u]
+        m, columns = columns_of[v]
+        rows = rows[np.searchsorted(n, bisect_left(of_left[u], k), "right") :]
+        columns = columns[np.searchsorted(m, bisect_left(of_right[v], k), "right") :]
+        absent[np.ix_(rows, columns)] = True
+
+    # Rows and columns that turned out equal are one.
+    absent, row_of = np.unique(np.packbits(absent, axis=1), axis=0, return_inverse=True)
+    absent = np.unpackbits(absent, axis=1)[:, : max(column.values(), default=0) + 1]
+    absent, column_of = np.unique(np.packbits(absent.T, axis=1), axis=0, return_inverse=True)
+    absent = np.unpackbits(absent, axis=1)[:, : row_of.max() + 1].T
+    packed = np.packbits(np.vstack([absent, np.zeros((1, absent.shape[1]), absent.dtype)]), axis=1, bitorder="little")
+    tokens = list(begins)
+    entered = row_of.ravel()[[state[t] for t in tokens]].astype(np.int32)
+    return Table(labels, special, tokens, entered, column_of.ravel()[[column[t] for t in tokens]].astype(np.int32), packed.tobytes(), packed.shape[1])
+
+
 class Automaton:
-    """Deterministic tokenization automaton of one byte-level BPE tokenizer file."""
-
-    def __init__(self, definition: str):
-        parsed = json.loads(definition)
-        letters = byte_letters()
-        spell = lambda piece: bytes(letters[c] for c in piece)
-        self.ids = {spell(piece): i for piece, i in parsed["model"]["vocab"].items() if all(c in letters for c in piece)}
-        self.labels = {i: label for label, i in self.ids.items()}
-        self.special = {}
-        for token in parsed["added_tokens"]:
-            self.special[token["content"]] = token["id"]
-            self.labels[token["id"]] = token["content"].encode()
-            if self.ids.get(token["content"].encode()) == token["id"]:
-                del self.ids[token["content"].encode()]
-        self.longest = max(map(len, self.ids), default=1)
-        self.gadgets: dict[tuple[int, int], int] = {}
-        # Profiles: token -> pieces it begins or ends in, with the merge that consumes each.
-        self.begins = {i: ((i, NEVER),) for label, i in self.ids.items() if len(label) == 1}
-        self.ends = dict(self.begins)
-        for k, pair in enumerate(parsed["model"]["merges"]):
-            left, right = (spell(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self._add_gadget(k, self.ids[left], self.ids[right], self.ids[left + right])
-        self.arcs: dict[tuple[int, int], bool] = {}
+    """A compiled table at work."""
+
+    def __init__(self, table: Table):
+        self.labels, self.special, self.absent, self.stride = table.labels, table.special, table.absent, table.stride
+        self.start = len(table.absent) // table.stride - 1
+        self.endings = ahocorasick.Automaton()
+        for token, entered, column in zip(table.tokens, table.entered.tolist(), table.column.tolist()):
+            label = table.labels[token]
+            self.endings.add_word(label.decode("latin-1"), (token, len(label), entered, column >> 3, 1 << (column & 7)))
+        self.endings.make_automaton()
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.split = regex.compile(SPLIT)
 
-    def _add_gadget(self, k: int, u: int, v: int, x: int) -> None:
-        self.gadgets[u, v] = k
-        self.begins.setdefault(x, ((x, NEVER), (u, k), *self.begins[u][1:]))
-        self.ends.setdefault(x, ((x, NEVER), (v, k), *self.ends[v][1:]))
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow ``state``, the token before it."""
-        found = self.arcs.get((state, token))
-        if found is None:
-            found = not any(
-                # Of two merges of the same rank the one further left comes first.
-                k is not None and k < consumed_left and k <= consumed_right
-                for u, consumed_left in self.ends[state]
-                for v, consumed_right in self.begins[token]
-                for k in (self.gadgets.get((u, v)),)
-            )
-            if len(self.arcs) >= 1_000_000:
-                self.arcs.clear()
-            self.arcs[state, token] = found
-        return found
-
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Follow the accepting path of one pre-split word."""
-        ids, n = self.ids, len(word)
-        whole = ids.get(word)
-        if whole is not None:
-            return (whole,)
-        path: list[int] = []
-        dead = bytearray(n + 1)
-        at, reach = 0, min(self.longest, n)
-        while at < n:
-            for size in range(min(reach, n - at), 0, -1):
-                token = ids.get(word[at : at + size])
-                if token is not None and not dead[at + size] and (not path or self.has_arc(path[-1], token)):
-                    path.append(token)
-                    at += size
-                    reach = self.longest
-                    break
-            else:
-                dead[at] = 1
-                last = len(self.labels[path.pop()])
-                at, reach = at - last, last - 1
-        return tuple(path)
+        """The arcs of the only path that reads one pre-split word."""
+        absent, stride = self.absent, self.stride
+        row = [-1] * (len(word) + 1)  # of the table, in bytes, at each place that is read
+        arc: list[tuple[int, int]] = [(0, 0)] * (len(word) + 1)
+        row[0] = self.start * stride
+        for last, (token, size, entered, at, bit) in self.endings.iter(word.decode("latin-1")):
+            end = last + 1
+            before = row[end - size]
+            if before >= 0 and row[end] < 0 and not absent[before + at] & bit:
+                row[end], arc[end] = entered * stride, (token, size)
+        path, end = [], len(word)
+        while end:
+            token, size = arc[end]
+            if not size:
+                raise ValueError(f"the vocabulary cannot spell {word!r}")
+            path.append(token)
+            end -= size
+        return tuple(reversed(path))
 
     def encode(self, text: str, words: dict) -> list[int]:
         if self.cut is None or not any(name in text for name in self.special):
@@ -155,10 +209,17 @@ class WordTable(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
-def _worker_tables(definition: str) -> tuple[Automaton, WordTable, dict[int, str]]:
-    automaton = Automaton(definition)
-    return automaton, WordTable(automaton), {i: str(i) for i in automaton.labels}
+#: Of this Python worker, by the digest of the tokenizer file.
+_AT_WORK: dict[str, tuple[Automaton, WordTable, dict[int, str]]] = {}
+
+
+def _worker_tables(shared: Broadcast) -> tuple[Automaton, WordTable, dict[int, str]]:
+    digest, table = shared.value
+    if digest not in _AT_WORK:
+        _AT_WORK.clear()
+        automaton = Automaton(table)
+        _AT_WORK[digest] = automaton, WordTable(automaton), {i: str(i) for i in automaton.labels}
+    return _AT_WORK[digest]
 
 
 def default_tokenizer() -> str:
@@ -172,10 +233,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
 
     A null or empty text has no ids.  Extra columns are passed through.
     """
-    definition = _share(docs.sparkSession, tokenizer)
+    table = _share(docs.sparkSession, tokenizer)
 
     def prepare():
-        automaton, words, _ = _worker_tables(definition.value)
+        automaton, words, _ = _worker_tables(table)
         return lambda texts: [(automaton.encode(x, words),) for x in texts]
 
     kept = keep if keep is not None else _all_columns(docs, "ids")
@@ -185,10 +246,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
 
 def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep: list[str | Column] | None = None) -> DataFrame:
     """``keep`` columns with ``decoded string``; null ids decode to an empty text."""
-    definition = _share(encoded.sparkSession, tokenizer)
+    table = _share(encoded.sparkSession, tokenizer)
 
     def prepare():
-        automaton, _, _ = _worker_tables(definition.value)
+        automaton, _, _ = _worker_tables(table)
         return lambda texts: [(automaton.decode(list(map(int, x.split(",")))) .decode() if x else "",) for x in texts]
 
     kept = keep if keep is not None else _all_columns(encoded, "decoded")
@@ -203,10 +264,10 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, text: str = "text"
     decoded_sha256 (of the decoded text in UTF-8).  Ids and decoded texts never
     leave the task, so nothing larger than one batch is held.
     """
-    definition = _share(docs.sparkSession, tokenizer)
+    table = _share(docs.sparkSession, tokenizer)
 
     def prepare():
-        automaton, words, digits = _worker_tables(definition.value)
+        automaton, words, digits = _worker_tables(table)
 
         def one(x: str) -> tuple:
             ids = automaton.encode(x, words)
@@ -223,6 +284,7 @@ def _all_columns(df: DataFrame, added: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c != added]
 
 
-def _share(spark: SparkSession, tokenizer: str | None):
-    """The tokenizer file's content, read once by the driver; its size is that of the tokenizer."""
-    return spark.sparkContext.broadcast(Path(tokenizer or default_tokenizer()).read_text(encoding="utf-8"))
+def _share(spark: SparkSession, tokenizer: str | None) -> Broadcast:
+    """The compiled table, made once by the driver; its size is that of the tokenizer."""
+    definition = Path(tokenizer or default_tokenizer()).read_text(encoding="utf-8")
+    return spark.sparkContext.broadcast((hashlib.sha256(definition.encode()).hexdigest(), compiled(definition)))
