@@ -94,6 +94,13 @@ def _classes(profiles: dict[int, tuple], ranks: dict[int, list[int]], cut: Calla
     return of_token, {piece: tuple(np.array(sorted(found)).T) for piece, found in by_piece.items()}
 
 
+def _distinct(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a table of booleans, and the number of each row among them."""
+    seen: dict[bytes, int] = {}
+    number = np.array([seen.setdefault(row.tobytes(), len(seen)) for row in np.packbits(table, axis=1)], np.int32)
+    return table[np.unique(number, return_index=True)[1]], number
+
+
 @lru_cache(maxsize=2)
 def compiled(definition: str) -> Table:
     """The automaton of one byte-level BPE tokenizer file's content."""
@@ -127,14 +134,12 @@ def compiled(definition: str) -> Table:
         absent[np.ix_(rows, columns)] = True
 
     # Rows and columns that turned out equal are one.
-    absent, row_of = np.unique(np.packbits(absent, axis=1), axis=0, return_inverse=True)
-    absent = np.unpackbits(absent, axis=1)[:, : max(column.values(), default=0) + 1]
-    absent, column_of = np.unique(np.packbits(absent.T, axis=1), axis=0, return_inverse=True)
-    absent = np.unpackbits(absent, axis=1)[:, : row_of.max() + 1].T
-    packed = np.packbits(np.vstack([absent, np.zeros((1, absent.shape[1]), absent.dtype)]), axis=1, bitorder="little")
+    absent, row_of = _distinct(absent)
+    absent, column_of = _distinct(np.ascontiguousarray(absent.T))
+    packed = np.packbits(np.vstack([absent.T, np.zeros((1, len(absent)), bool)]), axis=1, bitorder="little")
     tokens = list(begins)
-    entered = row_of.ravel()[[state[t] for t in tokens]].astype(np.int32)
-    return Table(labels, special, tokens, entered, column_of.ravel()[[column[t] for t in tokens]].astype(np.int32), packed.tobytes(), packed.shape[1])
+    entered = row_of[[state[t] for t in tokens]]
+    return Table(labels, special, tokens, entered, column_of[[column[t] for t in tokens]], packed.tobytes(), packed.shape[1])
 
 
 class Automaton:
