@@ -26,12 +26,13 @@ HEADLINE = (
     "d1_trades_with d2_avg_interval d2_avg_interval_component d3_neighbours "
     "p1_top_pairs p2_channel_breakdown p3_monthly_trend p4_top_payees p7_active_pairs p8_high_value_edges "
     "u1_top_unbanked u2_multi_payer_targets u3_multi_payer_sample u4_unbanked_by_industry u5_top_target_network u8_value_to_unbanked "
-    "e1_ecosystem_paths e2_ecosystem_size e3_shared_counterparties e4_sector_network e6_shortest_path "
+    "e1_ecosystem_paths e2_ecosystem_size e2_ecosystem_size_hubs e3_shared_counterparties e4_sector_network e6_shortest_path "
     "x1_peer_recommendations_pct x2_peer_recommendations_all x3_segment_penetration "
     "c1_collateral_grade_all c2_concentration c3_stability_all c4_customer_profile "
+    "a8_upsert_stored st1_stream_compacted "
     "r2_block_candidates r7_match_confidence r10_ranked_matches r16_hidden_partners r17_revenue_at_risk r20_evaluate_matches "
-    "g1_pagerank g2_louvain g4_node_similarity g7_community_summary "
-    "m1_account_fan_out m2_layering s6_graph_counts"
+    "g1_pagerank g2_louvain g3_betweenness_pivots g4_node_similarity g4_node_similarity_hubs g7_community_summary g8_dominant_sector g11_modularities "
+    "m1_account_fan_out m2_layering m2_layering_three s6_graph_counts"
 ).split()
 
 

@@ -32,14 +32,19 @@ def channel_diversity(transactions: DataFrame, accounts: DataFrame) -> DataFrame
     )
 
 
+# Names of the grades, and the (payers, channels) that the first two need.
+GRADES = ("LOW RISK", "MEDIUM RISK", "HIGHER RISK")
+LOW_RISK, MEDIUM_RISK = (10, 3), (5, 2)
+
+
 def collateral_grade(
     trades: DataFrame,
     transactions: DataFrame,
     accounts: DataFrame,
     entities: DataFrame,
     n: int | None = 30,
-    low: tuple[int, int] = (10, 3),
-    medium: tuple[int, int] = (5, 2),
+    low: tuple[int, int] = LOW_RISK,
+    medium: tuple[int, int] = MEDIUM_RISK,
 ) -> DataFrame:
     """Grade by (distinct payers, channels); ``low`` and ``medium`` are the cuts."""
     scored = _inflow_of_banked(trades, entities).join(
@@ -48,7 +53,7 @@ def collateral_grade(
     if n is not None:
         scored = scored.orderBy(largest_first("inflow"), "dst").limit(n)
     reaches = lambda cut: (F.col("payers") >= cut[0]) & (F.col("channels") >= cut[1])
-    grade = F.when(reaches(low), "LOW RISK").when(reaches(medium), "MEDIUM RISK").otherwise("HIGHER RISK")
+    grade = F.when(reaches(low), GRADES[0]).when(reaches(medium), GRADES[1]).otherwise(GRADES[2])
     return attach(
         scored, entities, "dst", {"name": "name", "segment": "segment", "risk_score": "risk_score"}
     ).select(

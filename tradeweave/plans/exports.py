@@ -2,78 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeweave import schema
 from tradeweave.session import new_folder
 
 CHANNELS = ("EFT", "NAV", "SOF", "SWIFT")
 
 
-def _write(df: DataFrame, name: str) -> str:
+def _write(df: DataFrame, headings: dict[str, str], name: str) -> str:
     path = new_folder(df.sparkSession, name)
-    df.write.option("header", True).option("escape", '"').csv(path)
+    layout = df.select(*[F.col(column).alias(heading) for column, heading in headings.items()])
+    layout.write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
-def _as(source: str, target: str) -> Column:
-    return F.col(source).alias(target)
-
-
 def industries_csv(industries: DataFrame) -> str:
-    return _write(industries.select(_as("sic_code", "sicCode"), "name", "sector"), "industries")
+    return _write(industries, schema.INDUSTRY_HEADINGS, "industries")
 
 
 def products_csv(products: DataFrame) -> str:
-    return _write(
-        products.select(_as("product_id", "productId"), "name", "pillar", _as("monthly_fee", "monthlyFee")), "products"
-    )
+    return _write(products, schema.PRODUCT_HEADINGS, "products")
 
 
 def entities_csv(entities: DataFrame, status: str) -> str:
-    return _write(
-        entities.where(F.col("status") == status).select(
-            _as("entity_id", "customerId"), "name", _as("registration_number", "registrationNumber"), "region",
-            "segment", "status", "turnover", _as("risk_score", "riskScore"), _as("sic_code", "sicCode"),
-        ),
-        f"entities-{status}",
-    )
+    return _write(entities.where(F.col("status") == status), schema.ENTITY_HEADINGS, f"entities-{status}")
 
 
 def accounts_csv(accounts: DataFrame) -> str:
-    return _write(
-        accounts.select(
-            _as("account_id", "accountId"), _as("entity_id", "customerId"), _as("account_type", "accountType"),
-            _as("open_date", "openDate"), "balance",
-        ),
-        "accounts",
-    )
+    return _write(accounts, schema.ACCOUNT_HEADINGS, "accounts")
 
 
 def transactions_csv(transactions: DataFrame) -> list[str]:
     """One folder per channel, all of one layout."""
-    layout = transactions.select(
-        _as("transaction_id", "transactionId"),
-        _as("sender_account_id", "senderAccountId"), _as("receiver_account_id", "receiverAccountId"),
-        "amount", "currency", "date", "channel", "reference",
-    )
-    return [_write(layout.where(F.col("channel") == c), f"transactions-{c}") for c in CHANNELS]
+    return [_write(transactions.where(F.col("channel") == c), schema.TRANSACTION_HEADINGS, f"transactions-{c}") for c in CHANNELS]
 
 
 def holdings_csv(holdings: DataFrame) -> str:
-    return _write(
-        holdings.select(_as("entity_id", "customerId"), _as("product_id", "productId"), "since"), "holdings"
-    )
+    return _write(holdings, schema.HOLDING_HEADINGS, "holdings")
 
 
 def truth_csv(truth: DataFrame, entities: DataFrame) -> str:
-    names = entities.select("entity_id", "name")
-    return _write(
-        truth.join(names.select(_as("entity_id", "banked_id"), _as("name", "bankedName")), "banked_id")
-        .join(names.select(_as("entity_id", "unbanked_id"), _as("name", "unbankedVariantName")), "unbanked_id")
-        .select(
-            _as("banked_id", "bankedCustomerId"), _as("unbanked_id", "unbankedEntityId"),
-            "bankedName", "unbankedVariantName",
-        ),
-        "truth",
-    )
+    name_of = lambda side: entities.select(F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
+    named = truth.join(name_of("banked"), "banked_id").join(name_of("unbanked"), "unbanked_id")
+    return _write(named, schema.TRUTH_HEADINGS, "truth")

@@ -30,7 +30,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM customer_names JOIN regions ON c_nationkey = n_nationkey
         UNION ALL
         SELECT s_suppkey * 2 + 1,
-               full_name || CASE s_suppkey % 3 WHEN 0 THEN ' (Pty) Ltd' WHEN 1 THEN ' Pty Ltd' ELSE ' SA' END,
+               full_name || CASE s_suppkey % 3 WHEN 0 THEN ' (Group) Limited' WHEN 1 THEN ' Limited' ELSE ' Company' END,
                NULL, r_name, NULL, 'unbanked', NULL, NULL,
                CAST(CASE WHEN s_suppkey % 16 = 8 THEN (s_suppkey * 7 + 3) % 25 ELSE s_suppkey % 25 END AS INTEGER)
         FROM supplier JOIN customer_names ON c_custkey = s_suppkey

@@ -5,38 +5,40 @@ from __future__ import annotations
 MONEY = "decimal(18,2)"
 MONEY_SUM = "decimal(28,2)"
 
-# Layouts of the CSV files a bank would hand over.  Every field is read as text
-# and converted with try_cast, so a malformed number becomes NULL, not an error.
-INDUSTRY_FILE = "sicCode string, name string, sector string"
-PRODUCT_FILE = "productId string, name string, pillar string, monthlyFee string"
-ENTITY_FILE = (
-    "customerId string, name string, registrationNumber string, region string, segment string, "
-    "status string, turnover string, riskScore string, sicCode string"
-)
-ACCOUNT_FILE = (
-    "accountId string, customerId string, accountType string, openDate string, balance string"
-)
-TRANSACTION_FILE = (
-    "transactionId string, senderAccountId string, receiverAccountId string, amount string, "
-    "currency string, date string, channel string, reference string"
-)
-HOLDING_FILE = "customerId string, productId string, since string"
-TRUTH_FILE = (
-    "bankedCustomerId string, unbankedEntityId string, bankedName string, "
-    "unbankedVariantName string"
-)
-
-ENTITY_COLUMNS = [
-    "entity_id",
-    "name",
-    "registration_number",
-    "region",
-    "segment",
-    "status",
-    "turnover",
-    "risk_score",
-    "sic_code",
-]
+# Our columns and the headings of the CSV files a bank would hand over, in the files' order.
+INDUSTRY_HEADINGS = {"sic_code": "sicCode", "name": "name", "sector": "sector"}
+PRODUCT_HEADINGS = {"product_id": "productId", "name": "name", "pillar": "pillar", "monthly_fee": "monthlyFee"}
+ENTITY_HEADINGS = {
+    "entity_id": "customerId", "name": "name", "registration_number": "registrationNumber", "region": "region",
+    "segment": "segment", "status": "status", "turnover": "turnover", "risk_score": "riskScore", "sic_code": "sicCode",
+}
+ACCOUNT_HEADINGS = {
+    "account_id": "accountId", "entity_id": "customerId", "account_type": "accountType", "open_date": "openDate", "balance": "balance",
+}
+TRANSACTION_HEADINGS = {
+    "transaction_id": "transactionId", "sender_account_id": "senderAccountId", "receiver_account_id": "receiverAccountId",
+    "amount": "amount", "currency": "currency", "date": "date", "channel": "channel", "reference": "reference",
+}
+HOLDING_HEADINGS = {"entity_id": "customerId", "product_id": "productId", "since": "since"}
+TRUTH_HEADINGS = {
+    "banked_id": "bankedCustomerId", "unbanked_id": "unbankedEntityId", "banked_name": "bankedName", "unbanked_name": "unbankedVariantName",
+}
+
+
+def _as_text(headings: dict[str, str]) -> str:
+    """Every field is read as text and converted with try_cast, so a malformed number becomes NULL, not an error."""
+    return ", ".join(f"{heading} string" for heading in headings.values())
+
+
+INDUSTRY_FILE = _as_text(INDUSTRY_HEADINGS)
+PRODUCT_FILE = _as_text(PRODUCT_HEADINGS)
+ENTITY_FILE = _as_text(ENTITY_HEADINGS)
+ACCOUNT_FILE = _as_text(ACCOUNT_HEADINGS)
+TRANSACTION_FILE = _as_text(TRANSACTION_HEADINGS)
+HOLDING_FILE = _as_text(HOLDING_HEADINGS)
+TRUTH_FILE = _as_text(TRUTH_HEADINGS)
+
+ENTITY_COLUMNS = list(ENTITY_HEADINGS)
 TRADE_COLUMNS = ["src", "dst", "amount", "tx_count", "avg_interval"]
 MATCH_COLUMNS = [
     "banked_id",

@@ -20,7 +20,7 @@ CHANNEL_CYCLE = 35
 EFT_BELOW, NAV_BELOW, SOF_BELOW = 15, 25, 33
 SUPPLIER_SHARE = 35
 REVERSE_UP_TO = 7
-LEGAL_SUFFIXES = (" (Pty) Ltd", " Pty Ltd", " SA")
+LEGAL_SUFFIXES = (" (Group) Limited", " Limited", " Company")
 SWIFT_CURRENCIES = ("ZAR", "USD", "EUR", "GBP")
 
 
