@@ -50,6 +50,13 @@ def brute_groups(rows):
     return sorted(((a, len(sets[i]), None if a is None else least[top(i)], a is None or a == least[top(i)]) for i, (a, _) in enumerate(rows)), key=repr)
 
 
+def brute_kept(rows):
+    """Rows of ids that stand for their group; of rows that repeat an id and its text one, unless they have no id or no words."""
+    kept = {r[0] for r in brute_groups(rows) if r[3]}
+    once = {(i, t): (i, t) for i, t in rows if i in kept and i is not None and split(t)}
+    return [*once.values(), *((i, t) for i, t in rows if i in kept and (i is None or not split(t)))]
+
+
 def copies():
     """Chains of edits, exact copies, and pairs around the threshold."""
     rows, text = list(ROWS), prose(20, 150)
@@ -72,7 +79,7 @@ def test_near_copies_equal_brute_force(spark):
     docs = documents(spark, rows)
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    want = [r[0] for r in brute_groups(rows) if r[3]]
+    want = [i for i, _ in brute_kept(rows)]
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, want))
 
 
@@ -192,8 +199,7 @@ def test_pipeline_is_its_stages(spark, folder):
     scores = net.score([(t or "").encode() for _, t in rows])
     rows = [r for r, s in zip(rows, scores) if s >= quality_conv.THRESHOLD]
     assert not {i for i, _ in rows} & set(range(2000, 2040)) and {i for i, _ in rows} >= set(range(1000, 1040))
-    kept = collections.Counter(r[0] for r in brute_groups(rows) if r[3])
-    rows = [r for r in rows if r[0] in kept]
+    rows = brute_kept(rows)
     test_words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for _, t in ITEMS]
     windows = {tuple(w[k : k + 13]) for w in test_words if w for k in range(max(1, len(w) - 12))}
 
@@ -219,7 +225,19 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
             assert stage(spark, source, folder).columns == docs.columns
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_conversation_queries(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"hello {t} {c % 3}") for c in range(45) for t in range(c % 5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    trie, chats = (QUERIES[name](spark, str(tmp_path)) for name in ("op12_prefix_trie", "op13_reply_trees"))
+    assert trie.columns == "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()
+    assert chats.columns == "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars".split()
+    ids = {c for c, *_ in turns}
+    root = trie.where("depth = 0").collect()
+    assert len(root) == 1 and root[0].n_convs == len(ids) and root[0].conv_id == min(ids)
+    assert {r.conv_id for r in chats.collect()} == ids | {-7}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_prefix_trie", "op13_reply_trees"}))
 def test_every_query_answers_each_row(spark, folder, name):
     found = QUERIES[name](spark, folder)
     assert found.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
@@ -228,5 +246,6 @@ def test_every_query_answers_each_row(spark, folder, name):
         "op3": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op7": "doc_id n_words n_hit n_items items_sha256 contaminated", "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op9": "doc_id n_tokens ids_sha256 decoded_sha256", "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     }
     assert set(wanted.get(name.split("_")[0], "doc_id").split()) <= set(found.columns)
