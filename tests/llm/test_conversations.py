@@ -103,6 +103,13 @@ def test_an_estimate_of_one_is_proof(spark):
     assert sum(not r.shared for r in marked) >= 0.9 * alone
 
 
+def test_parents_below_proven_tails(spark):
+    """A half full sketch lets single prefixes through below prefixes that it proves to be single."""
+    rows = [(c, t, "user", f"own {c} {t}") for c in range(40) for t in range(12)]
+    turns = prefix_trie.with_starts(prefix_trie.ordered_turns(table(spark, rows)))
+    assert table_rows(prefix_trie.nodes(turns, 512)) == brute_trie(turns_of(rows))
+
+
 def brute_branches(messages, most):
     """messages: (id, parent, score); the best paths of each root, as lists of ids."""
     parent, score = {}, {}

@@ -225,8 +225,10 @@ def nodes(turns: DataFrame, most_counters: int = COUNTERS) -> DataFrame:
 
     owner = exact.select(F.col("prefix").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     one = F.lit(1).cast("long")
+    # A prefix that only the sketch lets through may lie below a proven tail: its parent is its conversation's own.
+    parent = F.coalesce("parent_conv_id", F.when(F.col("depth") > 0, F.col("conv_id"))).alias("parent_conv_id")
     shared_nodes = summed.join(owner, "parent", "left").select(
-        "conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
+        "conv_id", F.col("depth").cast("long").alias("depth"), parent, "n_convs", "n_children", "n_leaves",
         (F.col("of_members") - F.col("above")).alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
 
