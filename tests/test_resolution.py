@@ -10,6 +10,7 @@ from tradeweave.functions.names import fuzzy_vocabulary, jaro_winkler_arrays
 from tradeweave.operators.edges import neighbour_pairs
 from tradeweave.operators.maintenance import delete_cascade, insert_if_absent, link_entities
 from tradeweave.operators.resolution import blocking, reports, scoring, signals
+from tradeweave.plans.graph import open_graph
 from tradeweave.sources.files import inline_rows
 
 
@@ -247,3 +248,26 @@ def test_names_are_scored_once_and_bounded(spark):
             assert r.name_sim is None
         else:
             assert r.name_sim == pytest.approx(jaro_winkler_arrays([r.a], [r.b])[0]) and r.name_sim <= r.bound + 1e-9
+
+
+def test_rows_made_from_lists_are_not_broadcast(spark):
+    """The planner takes a list for one word; words and pairs of words of all names must not go through the driver."""
+    banked = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "banked_id long, words array<string>")
+    asked = spark.createDataFrame([("a", "b")], "word0 string, word1 string")
+    plan = asked.join(blocking._word_pairs(banked), ["word0", "word1"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_planner_expects_compressed_files(spark):
+    """A session that says more keeps its value."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1.0")
+        open_graph(spark, "/nowhere")
+        assert float(spark.conf.get(name)) >= 20
+        spark.conf.set(name, "50.0")
+        open_graph(spark, "/nowhere")
+        assert float(spark.conf.get(name)) == 50
+    finally:
+        spark.conf.set(name, before)
