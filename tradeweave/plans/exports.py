@@ -9,12 +9,14 @@ from tradeweave import schema
 from tradeweave.session import new_folder
 
 CHANNELS = ("EFT", "NAV", "SOF", "SWIFT")
+#: Text repeats itself; this codec is quick, and Spark reads such files by their ending.
+CSV_CODEC = "snappy"
 
 
 def _write(df: DataFrame, headings: dict[str, str], name: str) -> str:
     path = new_folder(df.sparkSession, name)
     layout = df.select(*[F.col(column).alias(heading) for column, heading in headings.items()])
-    layout.write.option("header", True).option("escape", '"').csv(path)
+    layout.write.option("header", True).option("escape", '"').csv(path, compression=CSV_CODEC)
     return path
 
 
