@@ -6,11 +6,12 @@ from pathlib import Path
 
 import pytest
 from helpers import accounts, rows, trades, transactions
+from pyspark.sql import functions as F
 
 from tradeweave.operators import maintenance, stored
 from tradeweave.operators.edges import trades_with
 from tradeweave.session import shared_dir, write_table
-from tradeweave.plans import exports
+from tradeweave.plans import catalog, exports
 from tradeweave.sources import files
 from tradeweave.streaming.trades import compact, current_trades, stream_trades
 
@@ -169,6 +170,29 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     assert rows(current_trades(spark, totals), *columns) == rows(want, *columns)
 
 
+def test_files_that_arrive_hold_a_bounded_number_of_payments(spark, tmp_path):
+    """Even if most payments are of one day; a small table still arrives in as many files as deliveries."""
+    days = [(1, 2, "1", "2024-01-01")] * 60 + [(2, 1, "2", f"2024-02-{d:02d}") for d in range(1, 21)]
+    paid = transactions(spark, days).drop("transaction_id").withColumn("transaction_id", F.monotonically_increasing_id().cast("string"))
+    paid = write_table(paid, "paid")
+    source = str(tmp_path / "in")
+    assert catalog.write_arriving(paid, source, 2, rows_per_file=10) == 4
+    arrived = spark.read.parquet(source)
+    sizes = [r["count"] for r in arrived.groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 20
+    assert rows(arrived.select(*paid.columns), *paid.columns) == rows(paid, *paid.columns)
+    assert catalog.write_arriving(paid, str(tmp_path / "few"), 2) == 1
+    assert len(list((tmp_path / "few").glob("*.parquet"))) == 2
+
+
+def test_stored_tables_and_exports_are_compressed(spark):
+    written = write_table(spark.range(3).toDF("k"), "numbers").inputFiles()
+    assert written and all(name.endswith(".zstd.parquet") for name in written)
+    path = exports.industries_csv(spark.createDataFrame([("1", 'a "b", c', "s")], "sic_code string, name string, sector string"))
+    assert all(name.endswith(".csv.snappy") for name in spark.read.text(path).inputFiles())
+    assert [tuple(r) for r in files.read_industries(spark, path).collect()] == [("1", 'a "b", c', "s")]
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())

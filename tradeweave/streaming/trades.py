@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tradeweave.operators.edges import elapsed_interval, trade_totals
 from tradeweave.schema import MONEY_SUM
-from tradeweave.session import delete_folder, folder_names, make_folder, rename_folder
+from tradeweave.session import TABLE_CODEC, delete_folder, folder_names, make_folder, rename_folder
 
 
 def stream_trades(
@@ -30,7 +30,7 @@ def stream_trades(
     """Start the stream; ``transactions`` comes from readStream."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        trade_totals(batch, accounts).write.mode("overwrite").parquet(f"{totals_path}/batches/batch_id={batch_id}")
+        trade_totals(batch, accounts).write.mode("overwrite").parquet(f"{totals_path}/batches/batch_id={batch_id}", compression=TABLE_CODEC)
 
     writer = transactions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
@@ -87,7 +87,7 @@ def compact(spark: SparkSession, totals_path: str, upto: int | None = None) -> i
     if not fresh:
         return None
     staged = f"{totals_path}/staged/{uuid.uuid4().hex}"
-    merged_totals(spark, totals_path, fresh[-1]).write.parquet(staged)
+    merged_totals(spark, totals_path, fresh[-1]).write.parquet(staged, compression=TABLE_CODEC)
     make_folder(spark, f"{totals_path}/bases")
     rename_folder(spark, staged, f"{totals_path}/bases/{fresh[-1]}")
     for n in bases[:-1]:
