@@ -38,6 +38,20 @@ def bank(tmp_path):
     }
 
 
+def test_rejected_payments_are_found_in_one_reading(spark, tmp_path):
+    """A payment is rejected once for each account it lacks, and the files are read once for both."""
+    lines = ["E1,A1,A2", "E2,A1,A9", "E3,A9,A8", "E3,A9,A8", "E4,,A1"]
+    heading = "transactionId,senderAccountId,receiverAccountId,amount,currency,date,channel,reference"
+    (tmp_path / "eft.csv").write_text("\n".join([heading, *[f"{line},1.00,ZAR,2024-01-01,EFT,x" for line in lines]]) + "\n")
+    known = spark.createDataFrame([("A1",), ("A1",), ("A2",), (None,)], "account_id string")
+    paid = files.read_transactions(spark, [str(tmp_path / "eft.csv")], known)
+    assert rows(paid.accepted, "transaction_id") == [("E1",)]
+    assert rows(paid.rejected, "transaction_id", "missing_parent") == sorted(
+        [("E2", "receiver_account_id"), ("E4", "sender_account_id")] + 2 * [("E3", "receiver_account_id"), ("E3", "sender_account_id")]
+    )
+    assert paid.rejected._jdf.queryExecution().optimizedPlan().toString().count("Relation [transactionId") == 1
+
+
 def test_loading_drops_and_reports_orphans(spark, bank):
     industries = files.read_industries(spark, bank["industries"])
     assert industries.first().name == "Cereals, growing"

@@ -7,6 +7,7 @@ returns ``Loaded(accepted, rejected)``; both sides stay lazy DataFrames.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,17 +44,33 @@ def _number(name: str, kind: str = "double") -> Column:
 
 
 def _require(rows: DataFrame, *parents: tuple[DataFrame, str, str]) -> Loaded:
-    """Keep rows all of whose parents exist; the rest are the rejects."""
+    """Keep rows all of whose parents exist; the rest are the rejects, once for each parent they lack.
+
+    Keys that name the same parent are looked for together, so the rows are read once for all of them.
+    """
     accepted = rows
-    missing = []
+    shared: list[tuple[DataFrame, str, list[str]]] = []
     for parent, parent_key, key in parents:
-        ids = parent.select(F.col(parent_key).alias(key))
-        accepted = accepted.join(ids, key, "left_semi")
-        missing.append(rows.join(ids, key, "left_anti").withColumn("missing_parent", F.lit(key)))
-    rejected = missing[0]
-    for more in missing[1:]:
-        rejected = rejected.unionByName(more)
-    return Loaded(accepted.select(*rows.columns), rejected.select(*rows.columns, "missing_parent"))
+        accepted = accepted.join(parent.select(F.col(parent_key).alias(key)), key, "left_semi")
+        keys = next((k for p, column, k in shared if p is parent and column == parent_key), None)
+        if keys is None:
+            shared.append((parent, parent_key, [key]))
+        else:
+            keys.append(key)
+    missing = [_lacking(rows, parent.select(F.col(parent_key).alias("_sought")), keys) for parent, parent_key, keys in shared]
+    return Loaded(accepted.select(*rows.columns), reduce(DataFrame.unionByName, missing))
+
+
+def _lacking(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows once for each key that is not among the ids, with ``missing_parent``."""
+    if len(keys) == 1:
+        sought = rows.withColumn("_sought", F.col(keys[0])).withColumn("_key", F.lit(1))
+    else:
+        # A number instead of the key's name: it is shuffled with every row.
+        each = [F.struct(F.lit(i).alias("_key"), F.col(key).alias("_sought")) for i, key in enumerate(keys, 1)]
+        sought = rows.select("*", F.inline(F.array(*each)))
+    name = F.element_at(F.array(*[F.lit(key) for key in keys]), F.col("_key"))
+    return sought.join(ids, "_sought", "left_anti").select(*rows.columns, name.alias("missing_parent"))
 
 
 def read_industries(spark: SparkSession, path: str) -> DataFrame:
