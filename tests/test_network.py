@@ -4,6 +4,7 @@ from collections import defaultdict, deque
 import pytest
 from helpers import entities, partner_sets, random_edges, rows, trades
 
+from tradeweave.functions.hubs import split_hubs
 from tradeweave.operators.ecosystem import two_hop_counts
 from tradeweave.operators.edges import neighbour_pairs
 from tradeweave.operators.network import reports
@@ -46,6 +47,18 @@ def test_node_similarity(spark, edges, hub_degree, cutoff, top_k):
     assert rows(found, "src", "dst", "similarity") == sorted(want)
 
 
+@pytest.mark.parametrize("edges", GRAPHS[1:])
+@pytest.mark.parametrize("full, list_rows", [(1, 1000), (8, 2), (512, 1000)])
+def test_reach_of_hubs(spark, edges, full, list_rows):
+    """Bitmaps alone, lists alone and both; what few entities a hub has is not spelled out as a bitmap."""
+    sets = partner_sets(edges)
+    hubs = split_hubs(neighbour_pairs(trades(spark, edges)), 2)
+    busy = {h for h in sets if len(sets[h]) > 2}
+    found = hubs.classes.join(hubs.reach(full, list_rows), "hub_class")
+    want = [(i, len(set().union(*(sets[h] for h in sets[i] & busy)))) for i in sets if sets[i] & busy]
+    assert rows(found, "id", "reach") == sorted(want)
+
+
 def brute_betweenness(sets, nodes):
     score = dict.fromkeys(nodes, 0.0)
     for s in sets:
