@@ -1,12 +1,14 @@
 """Results that must not depend on how many spans, how long a string or how often an id there is."""
 
 import time
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from corpus import BASE, BENCH, documents, edited, prose, table_rows
 from pyspark.sql import functions as F
 
-from tradeweave.llm import decontaminate, licenses, near_dedup, pii, secrets, spans
+from tradeweave.llm import decontaminate, katz, licenses, near_dedup, pii, secrets, spans
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -81,3 +83,17 @@ def test_long_strings_are_weighed_whole(spark):
     encoding = secrets._encoding(open(secrets.default_vocabulary(), "rb").read())
     assert secrets.chars_per_token(text, encoding) == len(text) / len(encoding.encode_ordinary(text))
     assert [r.spans for r in secrets.scan(documents(spark, [(1, text)])).collect()] == [f"random:0:{len(text)}"]
+
+
+def test_katz_tables_have_a_file_a_task(spark):
+    model = katz.score_corpus(documents(spark), F.lit(True), chunk_tokens=100)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for table, name in ((model.words, "katz-words"), (model.pairs, "katz-pairs")):
+        file = table.inputFiles()[0]
+        folder = Path(unquote(urlparse(file).path)).parents
+        written = next(x for x in folder if x.name.startswith(name))
+        assert 0 < len(list(written.rglob("part-*.parquet"))) <= tasks
+        # What one kind of rows needs is null in all others, so its reader reads nothing of theirs.
+        rows = spark.read.parquet(str(written))
+        own = {c: rows.where(F.col(c).isNotNull()).select("kind").distinct().count() for c in rows.columns if c not in ("kind", "block", "chunk", "seen")}
+        assert set(own.values()) == {1}

@@ -14,7 +14,7 @@ How the work is dealt:
   the counts of all chunks and answers each with ids and counts in the order it asked.
 * Each chunk lists its distinct pairs of known words once, dealt to blocks by
   the first word.  A block sums the counts of all chunks, keeps them as a table
-  partitioned by kind, and answers each chunk with the counts in the order it asked, so
+  and answers each chunk with the counts in the order it asked, so
   neither tokens nor pairs travel twice.  A first word with many tokens is spread over blocks by the
   second word; its sums are added up afterwards.
 * Backoff weights are summed by blocks of first words and answered in the same way.
@@ -137,9 +137,14 @@ class Model:
     scores: DataFrame
 
 
-def _written(df: DataFrame, name: str, *by: str) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder, one file a task.
+
+    Kinds of rows have columns of their own, so that a reader of one kind reads no bytes of the others.  A folder for each kind
+    would do that too, but on a plain local or mounted file system Hadoop starts a process for every file and folder it makes.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -253,11 +258,11 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
         return pd.DataFrame({"block": block[cuts], "chunk": row.chunk, "words": [pack(words[a:b]) for a, b in parts], "n": [pack(local[a:b]) for a, b in parts]})
 
     uses = chunks.select("chunk", "words", "local").mapInPandas(lambda frames: _rows(frames, listed), "block long, chunk long, words binary, n binary")
-    words = _written(uses.groupBy("block").applyInPandas(_sum_words, "kind string, block long, chunk long, words binary, ids binary, n binary, seen array<long>"), "katz-words", "kind")
+    words = _written(uses.groupBy("block").applyInPandas(_sum_words, "kind string, block long, chunk long, words binary, n binary, seen array<long>, ids binary, uses binary"), "katz-words")
     tables = words.where("kind = 'words'").select("block", "words", "n", "seen")
     seen = tables.select(*[F.coalesce(F.sum(F.get("seen", F.lit(i))), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
     unigrams = Unigrams.of(seen[0], seen[1], list(seen[2:]))
-    replied = words.where("kind = 'reply'")
+    replied = words.where("kind = 'reply'").select("block", "chunk", "ids", F.col("uses").alias("n"))
     answers = _by_chunk(replied, "answers", "ids", "n")
     blocks = 1 + unigrams.tokens // BLOCK_TOKENS
 
@@ -278,20 +283,20 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
         return _sum_block(frame, unigrams)
 
-    out = "kind string, block long, chunk long, h binary, w binary, c binary, n_h binary, covered binary, seen array<long>"
-    pairs = _written(requests.groupBy("block").applyInPandas(summed, out), "katz-pairs", "kind")
+    out = "kind string, block long, chunk long, h binary, w binary, c binary, ids binary, held binary, n_h binary, covered binary, seen array<long>, found binary"
+    pairs = _written(requests.groupBy("block").applyInPandas(summed, out), "katz-pairs")
     few = pairs.where("kind = 'history'").select(*[F.coalesce(F.sum(F.get("seen", F.lit(r))), F.lit(0)) for r in range(DISCOUNTED + 1)]).first()
     factors = discounts(list(few))
 
     def histories(row) -> pd.DataFrame:
-        held = unpack(row.c, np.int64).reshape(-1, DISCOUNTED + 1)
+        held = unpack(row.held, np.int64).reshape(-1, DISCOUNTED + 1)
         value = held[:, :DISCOUNTED] @ (np.array(factors) * np.arange(1, DISCOUNTED + 1)) + held[:, DISCOUNTED]
-        ids = unpack(row.h, np.int64)
+        ids = unpack(row.ids, np.int64)
         cuts, parts = _parts(ids >> 32)
         columns = (("h", ids), ("n_h", unpack(row.n_h, np.int64)), ("held", value), ("covered", unpack(row.covered, np.float64)))
         return pd.DataFrame({"block": (ids >> 32)[cuts]} | {name: [pack(x[a:b]) for a, b in parts] for name, x in columns})
 
-    partial = pairs.where("kind = 'history'").select("h", "c", "n_h", "covered").mapInPandas(
+    partial = pairs.where("kind = 'history'").select("ids", "held", "n_h", "covered").mapInPandas(
         lambda frames: _rows(frames, histories), "block long, h binary, n_h binary, held binary, covered binary"
     )
     weights = replied.select("block", "chunk", "ids").groupBy("block").cogroup(partial.groupBy("block")).applyInPandas(
@@ -300,7 +305,7 @@ def score_corpus(docs: DataFrame, train: Column, keep: list[str | Column] | None
     together = (
         chunks.select("chunk", "docs", "tokens").join(answers, "chunk")
         .join(_by_chunk(weights, "weights", "scale", "weight"), "chunk")
-        .join(_by_chunk(pairs.where("kind = 'reply'"), "replies", "c"), "chunk", "left")
+        .join(_by_chunk(pairs.where("kind = 'reply'"), "replies", "found"), "chunk", "left")
     )
     fields = [("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")]
     kept = docs.select(*keep).schema
@@ -339,13 +344,13 @@ def _sum_words(frame: pd.DataFrame) -> pd.DataFrame:
     ids = np.where(total > 0, (block << 32) + np.arange(len(words)), -1)
     known = total > 0
     of_counts = np.bincount(total[known], minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2].tolist()
-    table = {"kind": ["words"], "chunk": [None], "words": [pack(words[known])], "ids": [pack(ids[known])], "n": [pack(total[known])], "seen": [[int(total.sum()), int(known.sum()), *of_counts]]}
+    table = {"kind": ["words"], "chunk": [None], "words": [pack(words[known])], "n": [pack(total[known])], "seen": [[int(total.sum()), int(known.sum()), *of_counts]], "ids": [None], "uses": [None]}
     ends = np.cumsum([len(x) for x in lists])[:-1]
     own_ids, own_counts = np.split(ids[which], ends), np.split(total[which], ends)
-    replies = {"kind": "reply", "chunk": frame["chunk"].tolist(), "ids": [pack(x) for x in own_ids], "n": [pack(x) for x in own_counts]}
+    replies = {"kind": "reply", "chunk": frame["chunk"].tolist(), "ids": [pack(x) for x in own_ids], "uses": [pack(x) for x in own_counts]}
     made = pd.concat([pd.DataFrame(table), pd.DataFrame(replies)], ignore_index=True).assign(block=block)
     made["chunk"] = made["chunk"].astype("Int64")
-    return made[["kind", "block", "chunk", "words", "ids", "n", "seen"]].replace({np.nan: None})
+    return made[["kind", "block", "chunk", "words", "n", "seen", "ids", "uses"]].replace({np.nan: None})
 
 
 def _weigh(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -394,13 +399,13 @@ def _sum_block(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
     seen = np.bincount(total, minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2].tolist()
     block = int(frame["block"].iloc[0])
     none = [None] * 1
-    pairs = {"kind": "pairs", "chunk": none, "h": [pack(h[first])], "w": [pack(w[first])], "c": [pack(total)], "n_h": none, "covered": none, "seen": none}
-    held_by = {"kind": "history", "chunk": none, "h": [pack(ids)], "w": none, "c": [pack(table.reshape(-1))], "n_h": [pack(history)], "covered": [pack(covered)], "seen": [seen]}
+    pairs = {"kind": "pairs", "chunk": none, "h": [pack(h[first])], "w": [pack(w[first])], "c": [pack(total)]}
+    held_by = {"kind": "history", "chunk": none, "ids": [pack(ids)], "held": [pack(table.reshape(-1))], "n_h": [pack(history)], "covered": [pack(covered)], "seen": [seen]}
     parts = np.split(reply, np.cumsum(sizes)[:-1])
-    replies = {"kind": "reply", "chunk": frame["chunk"].tolist(), "c": [pack(x) for x in parts]}
+    replies = {"kind": "reply", "chunk": frame["chunk"].tolist(), "found": [pack(x) for x in parts]}
     made = pd.concat([pd.DataFrame(x) for x in (pairs, held_by, replies)], ignore_index=True).assign(block=block)
     made["chunk"] = made["chunk"].astype("Int64")
-    return made[["kind", "block", "chunk", "h", "w", "c", "n_h", "covered", "seen"]].replace({np.nan: None})
+    return made[["kind", "block", "chunk", "h", "w", "c", "ids", "held", "n_h", "covered", "seen", "found"]].replace({np.nan: None})
 
 
 def _score_chunk(row: _Row, unigrams: Unigrams, factors: list[float], blocks: int) -> list[list]:
@@ -408,7 +413,7 @@ def _score_chunk(row: _Row, unigrams: Unigrams, factors: list[float], blocks: in
     ids, counts = _known(row)
     both, inverse, order, _, _, _, _, _ = _pairs(tokens, before, ids, counts, blocks)
     found = np.zeros(len(order), np.int64)
-    found[order] = _joined(row.replies, "c", np.int64)
+    found[order] = _joined(row.replies, "found", np.int64)
     c = np.zeros(len(tokens), np.int64)
     c[both] = found[inverse]
     scale, weight = _joined(row.weights, "scale", np.float64), _joined(row.weights, "weight", np.float64)
