@@ -271,3 +271,32 @@ def test_planner_expects_compressed_files(spark):
         assert float(spark.conf.get(name)) == 50
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("members, twice, min_conf", [(3, (), 0.45), (2, (3, 8, 104), 0.3)])
+def test_matches_of_kinds_are_those_of_their_entities(spark, monkeypatch, members, twice, min_conf):
+    """Also where kinds fill several lists, and where several rows have an id."""
+    monkeypatch.setattr(scoring, "MEMBERS", members)
+    pick = random.Random(29)
+    names = ["alpha steel", "Alpha Steel", "alpha steel works", "beta steel", "beta mills ltd", None]
+    make = lambda status: {"name": pick.choice(names), "region": pick.choice(["X", "Y", None]), "sic_code": pick.choice([1, 2, None]), "status": status}
+    people = {i: make("banked") for i in range(50)} | {100 + i: make("unbanked") for i in range(20)}
+    table = entities(spark, people)
+    if twice:
+        table = table.unionByName(entities(spark, {i: people[i] | {"name": "alpha steel works", "region": "Y"} for i in twice}))
+    edges = trades(spark, [(a if a < 50 else a + 50, b if b < 50 else b + 50) for a, b in random_edges(70, 150, 31, hubs=(0,))])
+    partners = neighbour_pairs(edges)
+    pairs = blocking.attainable_candidates(table, partners, scoring.WEIGHTS, min_conf, min_score=0.1)
+    want = scoring.score_pairs(pairs, table, edges, min_conf=min_conf)
+    columns = ("banked_id", "unbanked_id", "confidence", "name_sim", "industry_sim", "region_sim", "trading_sim")
+    got = rows(scoring.match_entities(table, edges, min_conf=min_conf, min_score=0.1), *columns)
+    assert len(got) > 50 and got == rows(want, *columns)
+
+
+def test_equal_kinds_are_scored_once(spark, monkeypatch):
+    """Six hundred pairs of entities are two pairs of names."""
+    scored = []
+    monkeypatch.setattr(scoring, "score_names", lambda found, *a: scored.append(found.count()) or signals.score_names(found, *a))
+    table = entities(spark, {i: {"name": "alpha steel"} for i in range(30)} | {100 + i: {"name": ["alpha steel ltd", "alpha steel co"][i % 2], "status": "unbanked"} for i in range(20)})
+    found = scoring.match_entities(table, trades(spark, [(0, 100), (1, 0), (1, 101)]), min_score=0.0)
+    assert found.count() == 600 and sum(scored) == 2
